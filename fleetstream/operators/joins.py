@@ -1,0 +1,15 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint only after a bounded check of the row count
+    (``limit(max_rows + 1).count()`` stops reading early).  Past the bound
+    the frame is returned as is and Spark plans a shuffle join, or AQE
+    broadcasts it from run-time sizes."""
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

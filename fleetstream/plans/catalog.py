@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import parsers
 from ..functions.parsers import keep_parsed
+from ..functions import paths
+from ..operators import messages as msg
+from ..operators import selection as sel
+from ..operators import sinks
+from ..operators import slices as slc
+from ..operators import tasks
 from ..operators import timeline as tl
+from ..sources import files as srcf
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +198,189 @@ def q_log_scan(spark, sf_dir):
     return scan_logs(spark, root, "*/*/*.txt", with_order_key=False).select("run", "host", "line")
 
 
+
+# -- messages -----------------------------------------------------------------
+
+def _routes(spark, sf_dir):
+    """Route table: one container image per message type (derived from the
+    types present in the catalogue)."""
+    types = fx.table(spark, sf_dir, "documents").select(F.col("lang").alias("type")).distinct()
+    return types.select("type", F.concat(F.lit("fleet/"), F.col("type"), F.lit("-worker:1"))
+                        .alias("image"), F.lit(msg.DEFAULT_OS).alias("os"))
+
+
+def q_message_encode(spark, sf_dir):
+    packed = msg.pack(fx.payloads(spark, sf_dir))
+    return packed.select("name", "type", F.octet_length("envelope").cast("bigint").alias("n_bytes"),
+                         F.md5("envelope").alias("md5"))
+
+
+def q_message_decode(spark, sf_dir):
+    packed = msg.pack(fx.payloads(spark, sf_dir)).select("doc_id", "type", "envelope")
+    out = msg.unpack(packed, mode="strict")
+    return out.select("name", "size", F.octet_length("data").cast("bigint").alias("n_data"),
+                      F.md5("data").alias("md5"),
+                      (F.col("size") == F.octet_length("data")).alias("size_ok"))
+
+
+def q_route_lookup(spark, sf_dir):
+    routed = msg.route(fx.payloads(spark, sf_dir).drop("content"), _routes(spark, sf_dir))
+    return routed.select("name", "type", "image", "os")
+
+
+def q_message_load(spark, sf_dir):
+    loaded = msg.load_messages(fx.payloads(spark, sf_dir), copies=MESSAGE_COPIES)
+    routed = msg.pack(msg.route(loaded, _routes(spark, sf_dir)))
+    return routed.select("name", "copy", "type", "image", "os",
+                         F.octet_length("envelope").cast("bigint").alias("n_bytes"))
+
+
+MESSAGE_COPIES = 2
+
+
+# -- new-file selection (batch replay) ----------------------------------------
+
+SELECTION_START_MS = 30000
+
+
+def _selection(spark, sf_dir):
+    return sel.select_new_files(fx.listing(spark, sf_dir), start_ms=SELECTION_START_MS)
+
+
+def q_new_file_selection(spark, sf_dir):
+    return _selection(spark, sf_dir).select("path", "mod_ms", "visible_ms", "batch_ms",
+                                            "threshold_ms", "reason", "selected")
+
+
+def q_late_files(spark, sf_dir):
+    return sel.late_files(_selection(spark, sf_dir)).select(
+        "path", "mod_ms", "visible_ms", "batch_ms", "lateness_ms")
+
+
+def q_batch_counts(spark, sf_dir):
+    return sel.batch_counts(_selection(spark, sf_dir))
+
+
+def q_balanced_slices(spark, sf_dir):
+    chosen = _selection(spark, sf_dir).filter("selected").select("path", "mod_ms", "batch_ms")
+    return slc.assign_slices(chosen, ["batch_ms"], ["mod_ms", "path"]).select(
+        "batch_ms", "path", "n", "p", "slice")
+
+
+def q_batch_preview(spark, sf_dir):
+    chosen = _selection(spark, sf_dir).filter("selected").select("path", "mod_ms", "batch_ms")
+    return sinks.preview(chosen, ["batch_ms"], ["path"], n=5).select(
+        "batch_ms", "path", F.col("rank").cast("bigint").alias("rank"))
+
+
+# -- files ------------------------------------------------------------------
+
+def _doc_glob(spark, sf_dir):
+    return fx.document_files(spark, sf_dir) + "/*/*"
+
+
+def _name_from_path(c="path"):
+    return paths.dir_value(F.col(c)).alias("name")
+
+
+def q_file_listing(spark, sf_dir):
+    files = srcf.list_files(spark, _doc_glob(spark, sf_dir))
+    return files.select(_name_from_path(), "length")
+
+
+def q_whole_file(spark, sf_dir):
+    files = srcf.whole_files(spark, _doc_glob(spark, sf_dir))
+    return files.select(_name_from_path(),
+                        F.octet_length("text").cast("bigint").alias("n_bytes"),
+                        F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def q_file_sample(spark, sf_dir):
+    files = srcf.sample_files(spark, _doc_glob(spark, sf_dir), path_glob_filter="*.txt", n=20)
+    return files.select(_name_from_path(), "length")
+
+
+def q_named_lines(spark, sf_dir):
+    from ..sources.logs import named_lines
+    lines = named_lines(spark, fx.document_files(spark, sf_dir), "*/*")
+    return lines.select(_name_from_path(), "line")
+
+
+def q_by_file_transform(spark, sf_dir):
+    from ..sources.logs import named_lines
+    lines = named_lines(spark, fx.document_files(spark, sf_dir), "*/*")
+    pairs = tasks.transform_by_file(lines, tasks.name_lines)
+    return pairs.groupBy(_name_from_path()).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum((F.col("line") == "").cast("bigint")).alias("n_empty"))
+
+
+# -- external tasks -----------------------------------------------------------
+
+TASK_ARGV = ["wc", "-c", "{path}"]
+RECORDED_ARGV = ["grep", "-rqF", "the", "{dir}"]
+
+
+def q_external_task(spark, sf_dir):
+    files = srcf.list_files(spark, _doc_glob(spark, sf_dir)).select("path")
+    done = tasks.run_per_file(files, TASK_ARGV, on_error="raise")
+    n = F.split(F.trim(F.col("output")), " ").getItem(0).try_cast("bigint")
+    return done.select(_name_from_path(), "status", n.alias("n_bytes"),
+                       parsers.parse_completion_line("completion")["ok"].alias("completion_ok"))
+
+
+def q_external_task_recorded(spark, sf_dir):
+    packed = msg.pack(fx.payloads(spark, sf_dir)).select("doc_id", "envelope")
+    decoded = msg.unpack(packed, mode="strict").select("name", "data")
+    done = tasks.run_per_payload(decoded, RECORDED_ARGV)
+    return done.select("name", "status", "outcome")
+
+
+# -- streams ------------------------------------------------------------------
+
+def q_new_file_stream(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming import newfiles as nf
+    work = scratch_path(spark, "stream")
+    q = nf.start(nf.new_file_stream(spark, _doc_glob(spark, sf_dir)), f"{work}/out",
+                 f"{work}/checkpoint")
+    q.awaitTermination()
+    res = nf.read_results(spark, f"{work}/out")
+    return res.select(_name_from_path(), "length")
+
+
+def q_restart_once(spark, sf_dir):
+    """Drain the first wave, stop, add the second wave, restart from the
+    checkpoint: every file is processed once."""
+    from ..session import scratch_path
+    from ..streaming import newfiles as nf
+    work = scratch_path(spark, "restart")
+    docs = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text",
+        (F.col("doc_id") % 2 + 1).alias("wave"))
+    src = f"{work}/src"
+    for wave in (1, 2):
+        (docs.filter(F.col("wave") == wave).drop("wave")
+         .write.mode("overwrite").partitionBy("name").text(f"{src}/wave={wave}"))
+        q = nf.start(nf.new_file_stream(spark, f"{src}/*/*/*"), f"{work}/out",
+                     f"{work}/checkpoint")
+        q.awaitTermination()
+    res = nf.read_results(spark, f"{work}/out")
+    return res.groupBy(_name_from_path()).agg(
+        F.first("length").alias("length"), F.count(F.lit(1)).alias("n_seen"))
+
+
+def q_slow_listing(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming import newfiles as nf
+    work = scratch_path(spark, "progress")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    q = nf.start(nf.new_file_stream(spark, _doc_glob(spark, sf_dir), max_files_per_trigger=200),
+                 f"{work}/out", f"{work}/checkpoint")
+    q.awaitTermination()
+    return nf.progress_rows(spark, q).filter(F.col("num_input_rows") > 0)
+
+
 QUERIES: dict[str, Query] = {
     "cluster_cpu": q_cluster_cpu,
     "cpu_log": q_cpu_log,
@@ -211,4 +401,23 @@ QUERIES: dict[str, Query] = {
     "page_counts": q_page_counts,
     "uri_path": q_uri_path,
     "log_scan": q_log_scan,
+    "message_encode": q_message_encode,
+    "message_decode": q_message_decode,
+    "route_lookup": q_route_lookup,
+    "message_load": q_message_load,
+    "new_file_selection": q_new_file_selection,
+    "late_files": q_late_files,
+    "batch_counts": q_batch_counts,
+    "balanced_slices": q_balanced_slices,
+    "batch_preview": q_batch_preview,
+    "file_listing": q_file_listing,
+    "whole_file": q_whole_file,
+    "file_sample": q_file_sample,
+    "named_lines": q_named_lines,
+    "by_file_transform": q_by_file_transform,
+    "external_task": q_external_task,
+    "external_task_recorded": q_external_task_recorded,
+    "new_file_stream": q_new_file_stream,
+    "restart_once": q_restart_once,
+    "slow_listing": q_slow_listing,
 }

@@ -152,3 +152,75 @@ SQL: dict[str, str] = {
         UNION ALL
         SELECT run, host, {CPU_LINE_STAMPED} AS line FROM ({CPU})""",
 }
+
+ENVELOPE = """'{"name":"d' || CAST(doc_id AS VARCHAR) || '.tif","size":' || CAST(strlen(text) AS VARCHAR)
+    || '}' || '";"' || text"""
+
+SELECTION = f"""
+WITH l AS ({LISTING}),
+b AS (SELECT *, ((greatest(mod_ms, visible_ms) + 4999) // 5000) * 5000 AS batch_ms FROM l),
+t AS (SELECT *, greatest(30000, batch_ms - 60000) AS threshold_ms FROM b)
+SELECT path, mod_ms, visible_ms, batch_ms, threshold_ms,
+       CASE WHEN starts_with(regexp_extract(path, '[^/]*$'), '.') THEN 'filtered'
+            WHEN mod_ms <= 30000 THEN 'before_start'
+            WHEN mod_ms <= threshold_ms THEN 'late'
+            WHEN mod_ms > batch_ms THEN 'future'
+            ELSE 'selected' END AS reason
+FROM t"""
+
+SELECTED = f"SELECT path, mod_ms, batch_ms FROM ({SELECTION}) WHERE reason = 'selected'"
+
+DOC_FILES = """
+SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, CAST(strlen(text) + 1 AS BIGINT) AS length, text
+FROM documents"""
+
+SQL.update({
+    "message_encode": f"""
+        SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name, lang AS type,
+               CAST(strlen(env) AS BIGINT) AS n_bytes, md5(env) AS md5
+        FROM (SELECT doc_id, lang, {ENVELOPE} AS env FROM documents)""",
+    "message_decode": """
+        SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name, CAST(strlen(text) AS BIGINT) AS size,
+               CAST(strlen(text) AS BIGINT) AS n_data, md5(text) AS md5, TRUE AS size_ok
+        FROM documents""",
+    "route_lookup": """
+        SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name, lang AS type,
+               'fleet/' || lang || '-worker:1' AS image, 'ubuntu' AS os
+        FROM documents""",
+    "message_load": f"""
+        SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name, CAST(c AS INTEGER) AS copy,
+               lang AS type, 'fleet/' || lang || '-worker:1' AS image, 'ubuntu' AS os,
+               CAST(strlen({ENVELOPE}) AS BIGINT) AS n_bytes
+        FROM documents, range(1, 3) r(c)""",
+    "new_file_selection": f"SELECT *, reason = 'selected' AS selected FROM ({SELECTION})",
+    "late_files": f"""
+        SELECT path, mod_ms, visible_ms, batch_ms, batch_ms - mod_ms AS lateness_ms
+        FROM ({SELECTION}) WHERE reason = 'late'""",
+    "batch_counts": f"SELECT batch_ms, count(*) AS n_files FROM ({SELECTED}) GROUP BY batch_ms",
+    "balanced_slices": f"""
+        SELECT batch_ms, path, n, p, CAST((r * p - 1) // n AS INTEGER) AS slice
+        FROM (SELECT batch_ms, path, count(*) OVER (PARTITION BY batch_ms) AS n,
+                     CAST(least(count(*) OVER (PARTITION BY batch_ms), 40) AS INTEGER) AS p,
+                     row_number() OVER (PARTITION BY batch_ms ORDER BY mod_ms, path) AS r
+              FROM ({SELECTED}))""",
+    "batch_preview": f"""
+        SELECT batch_ms, path, rank FROM (
+          SELECT batch_ms, path, row_number() OVER (PARTITION BY batch_ms ORDER BY path) AS rank
+          FROM ({SELECTED})) WHERE rank <= 5""",
+    "file_listing": f"SELECT name, length FROM ({DOC_FILES})",
+    "whole_file": f"SELECT name, length AS n_bytes, md5(text || chr(10)) AS md5 FROM ({DOC_FILES})",
+    "file_sample": f"SELECT name, length FROM ({DOC_FILES}) ORDER BY name || '/' LIMIT 20",
+    "named_lines": f"SELECT name, unnest(string_split(text, chr(10))) AS line FROM ({DOC_FILES})",
+    "by_file_transform": f"""
+        SELECT name, CAST(len(l) AS BIGINT) AS n_lines,
+               CAST(len(list_filter(l, lambda x: x = '')) AS BIGINT) AS n_empty
+        FROM (SELECT name, string_split(text, chr(10)) AS l FROM ({DOC_FILES}))""",
+    "external_task": f"SELECT name, 0 AS status, length AS n_bytes, TRUE AS completion_ok FROM ({DOC_FILES})",
+    "external_task_recorded": """
+        SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name,
+               CASE WHEN contains(text, 'the') THEN 0 ELSE 1 END AS status,
+               CASE WHEN contains(text, 'the') THEN 'success' ELSE 'failed' END AS outcome
+        FROM documents""",
+    "new_file_stream": f"SELECT name, length FROM ({DOC_FILES})",
+    "restart_once": f"SELECT name, length, CAST(1 AS BIGINT) AS n_seen FROM ({DOC_FILES})",
+})
