@@ -22,6 +22,7 @@ from ..operators import slices as slc
 from ..operators import tasks
 from ..operators import timeline as tl
 from ..sources import files as srcf
+from ..session import shared_root
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +56,18 @@ def core_list_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("run", "host", "line_id", "p.ts_ms", "p.ts", "p.cores")
 
 
-def _cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cpu_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed CPU samples, materialized once with a reliable checkpoint (in
+    the shared ``spark.checkpoint.dir``): the bucketed running total reads
+    its input three times (quantiles, per-bucket carry, main window), and
+    text parsing should not be repeated for each pass."""
+    shared_root(spark)
     cpu = cpu_samples(spark, sf_dir).select("run", "worker", "line_id", "ts_ms", "ts", "cpu")
+    return cpu.checkpoint(eager=True)
+
+
+def _cluster(spark: SparkSession, sf_dir: str, cpu: DataFrame | None = None) -> DataFrame:
+    cpu = _cpu_series(spark, sf_dir) if cpu is None else cpu
     return tl.cluster_running_total(cpu, fx.WORKERS, value_col="cpu", out="cluster_cpu")
 
 
@@ -109,8 +120,9 @@ def q_core_equivalents(spark, sf_dir):
 def _rebased_cluster_view(spark, sf_dir):
     """Cluster figure: CPU in core equivalents and executor cores, both on the
     clock of the first CPU sample."""
-    c = _cluster(spark, sf_dir)
-    origin = tl.origins_of(c)
+    samples = _cpu_series(spark, sf_dir)
+    c = _cluster(spark, sf_dir, samples)
+    origin = tl.origins_of(samples)
     cpu = tl.rebase(c, origin).select(
         "run", F.lit("cpu").alias("series"), "line_id", "t",
         tl.core_equivalents(F.col("cluster_cpu")).alias("value"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from ..session import ensure_session_defaults, shared_root
+from ..session import ensure_session_defaults, shared_root, spread_if_narrow
 
 N_WORKERS = 5
 WORKERS = list(range(1, N_WORKERS + 1))
@@ -25,7 +25,7 @@ WORKERS = list(range(1, N_WORKERS + 1))
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_session_defaults(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_if_narrow(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def epoch_ms(ts: str = "ts") -> Column:

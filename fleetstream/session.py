@@ -43,6 +43,19 @@ def ensure_session_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def spread_if_narrow(df, min_partitions: int | None = None):
+    """Spread a scan with fewer partitions than the cluster's parallelism
+    (e.g. one small file with one row group) round-robin, so per-row CPU
+    work (regex, formatting) uses all cores.  Inputs that already come in
+    many splits -- every large input -- are returned unchanged: no shuffle
+    is added at scale."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder on shared storage for this application (from spark.checkpoint.dir)."""
     sc = spark.sparkContext
