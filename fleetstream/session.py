@@ -49,11 +49,13 @@ def spread_if_narrow(df, min_partitions: int | None = None):
     work (regex, formatting) uses all cores.  Inputs that already come in
     many splits -- every large input -- are returned unchanged: no shuffle
     is added at scale."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_partitions or sc.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no RDD view
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def shared_root(spark: SparkSession) -> str:
