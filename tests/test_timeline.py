@@ -77,3 +77,20 @@ def test_makespan(spark):
     starts = spark.createDataFrame([("r", 1588707496409)], "run string, ts_ms long")
     r = tl.makespan(comp, starts).first()
     assert r.n_tasks == 2 and abs(r.makespan_s - 636.591) < 1e-6
+
+
+def test_sinks_roundtrip(spark, workdir):
+    from fleetstream.functions import formats, parsers
+    from fleetstream.operators import sinks
+    from fleetstream.sources.logs import scan_logs
+    df = spark.createDataFrame([("r1", "master", 3, 1000), ("r1", "master", None, 2000),
+                                ("r2", "master", 7, 3000)], "run string, host string, cores int, ts long")
+    lines = df.select("run", "host", formats.core_line("cores", "ts").alias("line"))
+    sinks.write_lines(lines, workdir + "/logs", partition_cols=["run", "host"])  # K2
+    back = scan_logs(spark, workdir + "/logs", "*/*/*.txt")
+    parsed = back.select("run", "host", parsers.parse_core_line("line").alias("p"))
+    got = sorted(((r.run, r.host, r.p.cores, r.p.ts_ms) for r in parsed.collect()),
+                 key=lambda x: x[3])
+    assert got == [("r1", "master", 3, 1000), ("r1", "master", None, 2000), ("r2", "master", 7, 3000)]
+    sinks.write_series(df, workdir + "/series")  # K3
+    assert spark.read.parquet(workdir + "/series").count() == 3
