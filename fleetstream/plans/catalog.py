@@ -174,14 +174,17 @@ def q_load_rate(spark, sf_dir):
 
 
 def q_default_share(spark, sf_dir):
+    """Requests: one per part, image ``img<p_size>``.  Profiles: every line
+    item ran image ``img<l_linenumber>`` and used ``l_discount`` of a core
+    (whole cents, so the mean is exact).  Images never run get the default."""
     part = fx.table(spark, sf_dir, "part")
-    image = F.concat(F.lit("img"), F.col("p_size").cast("string"))
-    requests = part.select("p_partkey", image.alias("image"))
-    # profiled CPU in millionths of a core (p_retailprice / 10000, exact in cents)
-    profiles = part.filter(F.col("p_size") % 2 == 0).select(
-        image.alias("image"),
-        F.round(F.col("p_retailprice") * 100).cast("bigint").alias("cpu_micro"))
-    return tl.default_share(requests, profiles, cpu_col="cpu_micro", units=1000000.0)
+    requests = part.select("p_partkey",
+                           F.concat(F.lit("img"), F.col("p_size").cast("string")).alias("image"))
+    items = fx.table(spark, sf_dir, "lineitem")
+    profiles = items.select(
+        F.concat(F.lit("img"), F.col("l_linenumber").cast("string")).alias("image"),
+        F.round(F.col("l_discount") * 100).cast("bigint").alias("cpu_cents"))
+    return tl.default_share(requests, profiles, cpu_col="cpu_cents", units=100.0)
 
 
 def q_page_counts(spark, sf_dir):
@@ -369,7 +372,7 @@ def q_restart_once(spark, sf_dir):
     work = scratch_path(spark, "restart")
     docs = fx.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text",
-        (F.col("doc_id") % 2 + 1).alias("wave"))
+        F.when(F.col("lang") == "en", F.lit(1)).otherwise(F.lit(2)).alias("wave"))
     src = f"{work}/src"
     for wave in (1, 2):
         (docs.filter(F.col("wave") == wave).drop("wave")

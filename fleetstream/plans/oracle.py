@@ -132,11 +132,10 @@ SQL: dict[str, str] = {
         FROM a""",
     "default_share": """
         WITH r AS (SELECT p_partkey, 'img' || CAST(p_size AS VARCHAR) AS image FROM part),
-        p AS (SELECT 'img' || CAST(p_size AS VARCHAR) AS image,
-                     CAST(round(p_retailprice * 100) AS BIGINT) AS cpu_micro
-              FROM part WHERE p_size % 2 = 0),
-        m AS (SELECT image, CAST(sum(cpu_micro) AS DOUBLE) / count(cpu_micro) / 1000000.0 AS mean
-              FROM p GROUP BY image)
+        m AS (SELECT 'img' || CAST(l_linenumber AS VARCHAR) AS image,
+                     CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE)
+                       / count(*) / 100.0 AS mean
+              FROM lineitem GROUP BY 1)
         SELECT p_partkey, image, COALESCE(mean, 0.125) AS share, mean IS NOT NULL AS profiled
         FROM r LEFT JOIN m USING (image)""",
     "page_counts": """
