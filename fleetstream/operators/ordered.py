@@ -52,6 +52,30 @@ def add_range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None
     return bucketed.withColumn(out, F.col(tmp).cast("int")).drop(tmp)
 
 
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _ordering(df: DataFrame, order_cols: Sequence[str], skip: Sequence[str] = ()) -> Column:
+    """Ordering value for ``max_by`` over ``order_cols`` (minus ``skip``,
+    columns constant within the aggregation group).
+
+    ``max_by`` with a struct ordering has a buffer Spark can only aggregate by
+    sorting.  When the order is at most two integral columns ``(a, b)`` it is
+    packed into one ``decimal(38,0)``, ``(a + 2^61) * 2^64 + (b + 2^63)``,
+    which keeps the order exactly for ``|a| < 2^61`` (epoch milliseconds for
+    millions of years) and any ``b``, and lets Spark hash-aggregate."""
+    cols = [c for c in order_cols if c not in set(skip)]
+    types = dict(df.dtypes)
+    if 0 < len(cols) <= 2 and all(types.get(c) in _INTEGRAL for c in cols):
+        dec = "decimal(38,0)"
+        if len(cols) == 1:
+            return F.col(cols[0]).cast("bigint")
+        a, b = cols
+        hi = (F.col(a).cast(dec) + F.lit(str(2 ** 61)).cast(dec)) * F.lit(str(2 ** 64)).cast(dec)
+        return (hi + (F.col(b).cast(dec) + F.lit(str(2 ** 63)).cast(dec))).cast(dec)
+    return F.struct(*[F.col(c) for c in cols])
+
+
 def _cast_order(df: DataFrame, order_col: str) -> tuple[DataFrame, str]:
     """Bucketizer reads doubles; keep the original column untouched."""
     name = "_order_d"
@@ -77,7 +101,7 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
     d, order_d = _cast_order(df, order_cols[0])
     b = add_range_bucket(d, order_d, n_buckets).drop(order_d)
     part = group_cols + [BUCKET]
-    order_struct = F.struct(*[F.col(c) for c in order_cols])
+    order_struct = _ordering(b, order_cols, skip=[key_col])
     key = F.col(key_col)
 
     last_in_bucket = b.groupBy(*part).agg(*[
@@ -144,7 +168,7 @@ def rank_and_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     d, order_d = _cast_order(df, order_cols[0])
     b = add_range_bucket(d, order_d, n_buckets).drop(order_d)
     part = group_cols + [BUCKET]
-    order_struct = F.struct(*[F.col(c) for c in order_cols])
+    order_struct = _ordering(b, order_cols)
 
     per_bucket = b.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_n"),
