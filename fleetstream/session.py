@@ -14,6 +14,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _cores(master: str) -> int:
+    import os
+    inner = master[master.find("[") + 1:master.find("]")] if "[" in master else "1"
+    if inner in ("*", ""):
+        return os.cpu_count() or 8
+    try:
+        return int(inner.split(",")[0])
+    except ValueError:
+        return os.cpu_count() or 8
+
+
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
               app: str = "fleetstream", **extra: str) -> SparkSession:
     builder = (
@@ -29,6 +40,10 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         # external tasks must run once per file: no speculative copies
         .config("spark.speculation", "false")
+        # listing many folders/files (file streams, one file per task) runs as
+        # a Spark job; one task per path (default 10000) is all overhead
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism",
+                str(max(8, 4 * _cores(master))))
     )
     for k, v in extra.items():
         builder = builder.config(k, v)
