@@ -26,14 +26,20 @@ from pyspark.sql import functions as F
 from ..functions import parsers
 from ..functions.parsers import keep_parsed
 from ..operators import timeline as tl
+from ..session import shared_root
 from ..sources.logs import scan_logs
 
 ORDER = ["ts_ms", "worker", "block_start", "line_key"]
 
 
-def cpu_samples(spark: SparkSession, data: str, runs: str = "*", mode: str = "drop") -> DataFrame:
+CPU_FILES = "worker*/cpu.log"
+CORE_FILES = "master/cores.log"
+
+
+def cpu_samples(spark: SparkSession, data: str, runs: str = "*", mode: str = "drop",
+                files: str = CPU_FILES) -> DataFrame:
     """P3 over ``<data>/<run>/worker*/cpu.log``; worker index from the host name."""
-    lines = scan_logs(spark, data, f"{runs}/worker*/cpu.log")
+    lines = scan_logs(spark, data, f"{runs}/{files}")
     parsed = keep_parsed(lines.withColumn("p", parsers.parse_cpu_line("line")), "p", mode)
     return parsed.select(
         "run", "host",
@@ -42,11 +48,11 @@ def cpu_samples(spark: SparkSession, data: str, runs: str = "*", mode: str = "dr
 
 
 def core_samples(spark: SparkSession, data: str, runs: str = "*", per_worker: bool = False,
-                 mode: str = "drop") -> DataFrame:
+                 mode: str = "drop", files: str = CORE_FILES) -> DataFrame:
     """P1 (old format, ``cores`` int or NULL) or P2 (``cores`` int array) over
     ``<data>/<run>/master/cores.log``.  The format is an argument: both
     patterns accept an empty count, so it cannot be guessed per line."""
-    lines = scan_logs(spark, data, f"{runs}/master/cores.log")
+    lines = scan_logs(spark, data, f"{runs}/{files}")
     fn = parsers.parse_core_list_line if per_worker else parsers.parse_core_line
     parsed = keep_parsed(lines.withColumn("p", fn("line")), "p", mode)
     return parsed.select("run", "block_start", "line_key", "p.ts_ms", "p.ts", "p.cores")
@@ -54,15 +60,19 @@ def core_samples(spark: SparkSession, data: str, runs: str = "*", per_worker: bo
 
 def cluster_series(spark: SparkSession, data: str, runs: str = "*", workers: Sequence[int] = (1, 2, 3, 4, 5),
                    start: float | None = None, end: float | None = None,
-                   total_cores: int = tl.TOTAL_CORES) -> DataFrame:
-    cpu = cpu_samples(spark, data, runs)
+                   total_cores: int = tl.TOTAL_CORES, cpu_files: str = CPU_FILES,
+                   core_files: str = CORE_FILES) -> DataFrame:
+    # parsed once and materialized in the shared checkpoint folder: the
+    # bucketed running total reads its input three times
+    shared_root(spark)
+    cpu = cpu_samples(spark, data, runs, files=cpu_files).checkpoint(eager=True)
     total = tl.cluster_running_total(cpu, list(workers), value_col="cpu", out="cluster_cpu",
                                      order_cols=ORDER)
     origin = tl.origins_of(cpu)
     cpu_s = tl.rebase(total, origin).select(
         "run", F.lit("cpu").alias("series"), F.lit(None).cast("int").alias("worker"), "t",
         tl.core_equivalents(F.col("cluster_cpu"), len(workers), total_cores).alias("value"))
-    cores = tl.rebase(core_samples(spark, data, runs), origin).select(
+    cores = tl.rebase(core_samples(spark, data, runs, files=core_files), origin).select(
         "run", F.lit("cores").alias("series"), F.lit(None).cast("int").alias("worker"), "t",
         F.col("cores").cast("double").alias("value"))
     out = cpu_s.unionByName(cores)
@@ -71,13 +81,14 @@ def cluster_series(spark: SparkSession, data: str, runs: str = "*", workers: Seq
 
 def worker_series(spark: SparkSession, data: str, runs: str = "*",
                   start: float | None = None, end: float | None = None,
-                  cores_per_worker: int = tl.CORES_PER_WORKER) -> DataFrame:
-    lists = core_samples(spark, data, runs, per_worker=True)
+                  cores_per_worker: int = tl.CORES_PER_WORKER, cpu_files: str = CPU_FILES,
+                  core_files: str = CORE_FILES) -> DataFrame:
+    lists = core_samples(spark, data, runs, per_worker=True, files=core_files)
     origin = tl.origins_of(lists)
     alloc = tl.rebase(tl.per_worker_cores(lists), origin).select(
         "run", F.lit("allocated").alias("series"), "worker", "t",
         tl.allocated_fraction(F.col("cores"), cores_per_worker).alias("value"))
-    measured = tl.rebase(cpu_samples(spark, data, runs), origin).select(
+    measured = tl.rebase(cpu_samples(spark, data, runs, files=cpu_files), origin).select(
         "run", F.lit("measured").alias("series"), "worker", "t", F.col("cpu").alias("value"))
     out = alloc.unionByName(measured)
     return tl.view_range(out, start, end) if start is not None and end is not None else out

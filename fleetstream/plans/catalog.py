@@ -396,6 +396,24 @@ def q_slow_listing(spark, sf_dir):
     return nf.progress_rows(spark, q).filter(F.col("num_input_rows") > 0)
 
 
+# -- the analyses on log folders ---------------------------------------------
+
+def q_cluster_timeline(spark, sf_dir):
+    """Whole-cluster figure from the log folders (scan -> P3/P1 -> W1 -> W2 -> M3)."""
+    from . import analysis
+    root = fx.telemetry_files(spark, sf_dir)
+    return analysis.cluster_series(spark, root, "*", cpu_files="host=worker*/*.txt",
+                                   core_files="host=master/*.txt")
+
+
+def q_worker_timeline(spark, sf_dir):
+    """Per-worker figure from the log folders (scan -> P2/P3 -> A2 -> M4 -> W2 -> U3 -> F7)."""
+    from . import analysis
+    root = fx.telemetry_files(spark, sf_dir)
+    return analysis.worker_series(spark, root, "*", VIEW_START, VIEW_END,
+                                  cpu_files="host=worker*/*.txt", core_files="host=lists/*.txt")
+
+
 QUERIES: dict[str, Query] = {
     "cluster_cpu": q_cluster_cpu,
     "cpu_log": q_cpu_log,
@@ -435,4 +453,6 @@ QUERIES: dict[str, Query] = {
     "new_file_stream": q_new_file_stream,
     "restart_once": q_restart_once,
     "slow_listing": q_slow_listing,
+    "cluster_timeline": q_cluster_timeline,
+    "worker_timeline": q_worker_timeline,
 }

@@ -201,3 +201,25 @@ def cpu_log_files(spark: SparkSession, sf_dir: str) -> str:
          .write.mode("overwrite").partitionBy("run", "host").text(path))
         _WRITTEN[key] = path
     return _WRITTEN[key]
+
+
+def telemetry_files(spark: SparkSession, sf_dir: str) -> str:
+    """The measured cluster's log folders, as the pollers leave them:
+    ``<root>/run=<run>/host=worker<i>/*.txt`` with the CPU lines (bursts
+    included), ``<root>/run=<run>/host=master/*.txt`` with core counts and
+    ``<root>/run=<run>/host=lists/*.txt`` with per-worker core lists."""
+    key = (shared_root(spark), sf_dir, "telemetry")
+    if key not in _WRITTEN:
+        path = _fixture_dir(spark, sf_dir, "telemetry")
+        cpu = cpu_lines(spark, sf_dir, bursts=True).select("run", "host", "line_id", "seq", "line")
+        cores = core_lines(spark, sf_dir).select("run", "host", "line_id",
+                                                 F.lit(0).alias("seq"), "line")
+        lists = core_list_lines(spark, sf_dir).select("run", F.lit("lists").alias("host"),
+                                                      "line_id", F.lit(0).alias("seq"), "line")
+        (cpu.unionByName(cores).unionByName(lists)
+         .repartition("run", "host")
+         .sortWithinPartitions("run", "host", "line_id", "seq")
+         .select("run", "host", "line")
+         .write.mode("overwrite").partitionBy("run", "host").text(path))
+        _WRITTEN[key] = path
+    return _WRITTEN[key]

@@ -223,3 +223,18 @@ SQL.update({
     "new_file_stream": f"SELECT name, length FROM ({DOC_FILES})",
     "restart_once": f"SELECT name, length, CAST(1 AS BIGINT) AS n_seen FROM ({DOC_FILES})",
 })
+
+SQL.update({
+    "cluster_timeline": f"""
+        SELECT run, series, CAST(NULL AS INTEGER) AS worker, t, value FROM ({REBASED_CLUSTER})""",
+    "worker_timeline": f"""
+        WITH l AS ({CORE_LISTS}),
+        o AS (SELECT run, min(ts) AS origin FROM l GROUP BY run),
+        a AS (SELECT l.run, 'allocated' AS series, CAST(i + 1 AS INTEGER) AS worker, ts - origin AS t,
+                     CAST((event_id + i) % 9 AS DOUBLE) / 8 AS value
+              FROM l JOIN o USING (run), range(0, 5) r(i) WHERE event_id % 13 <> 0),
+        m AS (SELECT c.run, 'measured' AS series, worker, ts - origin AS t, cpu AS value
+              FROM ({CPU}) c JOIN o USING (run))
+        SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM m)
+        WHERE t BETWEEN 1.0 AND 864000.0""",
+})
