@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import parsers
 from ..functions.parsers import keep_parsed
 from ..operators import timeline as tl
-from ..session import shared_root
+from ..session import materialize
 from ..sources.logs import scan_logs
 
 ORDER = ["ts_ms", "worker", "block_start", "line_key"]
@@ -62,10 +62,9 @@ def cluster_series(spark: SparkSession, data: str, runs: str = "*", workers: Seq
                    start: float | None = None, end: float | None = None,
                    total_cores: int = tl.TOTAL_CORES, cpu_files: str = CPU_FILES,
                    core_files: str = CORE_FILES) -> DataFrame:
-    # parsed once and materialized in the shared checkpoint folder: the
-    # bucketed running total reads its input three times
-    shared_root(spark)
-    cpu = cpu_samples(spark, data, runs, files=cpu_files).checkpoint(eager=True)
+    # parsed once and written as a table in the shared checkpoint folder:
+    # the bucketed running total reads its input three times
+    cpu = materialize(cpu_samples(spark, data, runs, files=cpu_files), "cpu-samples")
     total = tl.cluster_running_total(cpu, list(workers), value_col="cpu", out="cluster_cpu",
                                      order_cols=ORDER)
     origin = tl.origins_of(cpu)

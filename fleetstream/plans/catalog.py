@@ -22,7 +22,7 @@ from ..operators import slices as slc
 from ..operators import tasks
 from ..operators import timeline as tl
 from ..sources import files as srcf
-from ..session import shared_root
+from ..session import materialize
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,13 +57,12 @@ def core_list_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cpu_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed CPU samples, materialized once with a reliable checkpoint (in
-    the shared ``spark.checkpoint.dir``): the bucketed running total reads
-    its input three times (quantiles, per-bucket carry, main window), and
+    """Parsed CPU samples, materialized once as a parquet table in the shared
+    ``spark.checkpoint.dir``: the bucketed running total reads its input
+    three times (quantiles: one column; per-bucket carry; main window), and
     text parsing should not be repeated for each pass."""
-    shared_root(spark)
     cpu = cpu_samples(spark, sf_dir).select("run", "worker", "line_id", "ts_ms", "ts", "cpu")
-    return cpu.checkpoint(eager=True)
+    return materialize(cpu, "cpu-series")
 
 
 def _cluster(spark: SparkSession, sf_dir: str, cpu: DataFrame | None = None) -> DataFrame:

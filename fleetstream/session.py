@@ -99,3 +99,14 @@ def to_local_path(uri: str) -> str:
     if uri.startswith("file:"):
         return uri[len("file:"):]
     return uri
+
+
+def materialize(df, name: str = "materialized"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared folder
+    (``spark.checkpoint.dir``) and reading it back.  Unlike ``checkpoint()``
+    (row blocks), later passes read only the columns they need, compressed;
+    the files survive the loss of any executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
