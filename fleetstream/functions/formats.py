@@ -13,11 +13,8 @@ from .parsers import CPU_FIELDS
 
 # The stamp suffix and the `top` summary layout.
 STAMP_FORMAT = " -  %dmS since epoch"
-CPU_LINE_FORMAT = (
-    "%%Cpu(s):"
-    + ",".join("%5.1f " + name for name in CPU_FIELDS)
-    + STAMP_FORMAT
-)
+CPU_LINE_FORMAT = ("%%Cpu(s):%5.1f us,%5.1f sy,%5.1f ni,%5.1f id,%5.1f wa,%5.1f hi,%5.1f si,"
+                   "%5.1f st -  %dmS since epoch")
 
 
 def _col(c) -> Column:

@@ -20,12 +20,9 @@ CORES_OLD_PATTERN = r"^([0-9]+)? -  ([0-9]+)mS"
 CORES_PER_WORKER_PATTERN = r"^(([0-9]+,)*) -  ([0-9]+)mS"
 # CPU line from `top`, eight percentages then the stamp
 CPU_FIELDS = ("us", "sy", "ni", "id", "wa", "hi", "si", "st")
-CPU_PATTERN = (
-    r"^%Cpu\(s\):"
-    + "".join(rf"\s*([0-9\.]+)\s*{name}," for name in CPU_FIELDS[:-1])
-    + rf"\s*([0-9\.]+)\s*{CPU_FIELDS[-1]}"
-    + r"\s*-\s*([0-9]+)mS"
-)
+CPU_PATTERN = (r"^%Cpu\(s\):\s*([0-9\.]+)\s*us,\s*([0-9\.]+)\s*sy,\s*([0-9\.]+)\s*ni,"
+               r"\s*([0-9\.]+)\s*id,\s*([0-9\.]+)\s*wa,\s*([0-9\.]+)\s*hi,\s*([0-9\.]+)\s*si,"
+               r"\s*([0-9\.]+)\s*st\s*-\s*([0-9]+)mS")
 # completion line of an external task
 COMPLETION_PREFIX = "cellprofiler completed: "
 # worker table cell on the master status page: "<td>8 (3 Used)</td>"
