@@ -113,3 +113,12 @@ def test_cpu_line_layout_matches_top(spark):
                                                   F.lit(1574326357947)).alias("l")).first().l
     assert line == ("%Cpu(s):  0.0 us,  1.1 sy,  0.0 ni, 98.9 id,  0.0 wa,  0.0 hi,  0.0 si,"
                     "  0.0 st -  1574326357947mS since epoch")
+
+
+def test_cpu_line_equals_stated_format(spark):
+    vals = [(0.8, 0.1, 0.0, 99.0, 0.1, 0.0, 0.0, 0.0, 1574326357947),
+            (12.3, 45.6, 0.0, 42.1, 0.0, 0.0, 0.0, 0.0, 1),
+            (100.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 99)]
+    df = spark.createDataFrame(vals, ", ".join(f"c{i} double" for i in range(8)) + ", ts long")
+    got = [r.l for r in df.select(formats.cpu_line(*[f"c{i}" for i in range(8)], "ts").alias("l")).collect()]
+    assert got == [formats.CPU_LINE_FORMAT % v for v in vals]
