@@ -266,6 +266,12 @@ def q_new_file_selection(spark, sf_dir):
                                             "threshold_ms", "reason", "selected")
 
 
+def q_rewritten_files(spark, sf_dir):
+    """T2/T4 with paths written many times (stateful per path)."""
+    return sel.select_rewritten_files(fx.rewrite_listing(spark, sf_dir),
+                                      start_ms=SELECTION_START_MS)
+
+
 def q_late_files(spark, sf_dir):
     return sel.late_files(_selection(spark, sf_dir)).select(
         "path", "mod_ms", "visible_ms", "batch_ms", "lateness_ms")
@@ -438,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "route_lookup": q_route_lookup,
     "message_load": q_message_load,
     "new_file_selection": q_new_file_selection,
+    "rewritten_files": q_rewritten_files,
     "late_files": q_late_files,
     "batch_counts": q_batch_counts,
     "balanced_slices": q_balanced_slices,

@@ -154,6 +154,21 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rewrite_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing where paths are written many times: one path per (source,
+    lang), every document a new version of it (hidden names for ``src0``);
+    ``mod_ms``/``visible_ms`` as in ``listing``."""
+    d = table(spark, sf_dir, "documents")
+    base = F.concat(F.when(F.col("source") == "src0", F.lit(".")).otherwise(F.lit("")),
+                    F.col("lang"), F.lit(".tif"))
+    mod = (F.col("doc_id") * 137) % 600000
+    return d.select(
+        F.concat(F.lit("/data/src/"), F.col("source"), F.lit("/"), base).alias("path"),
+        mod.alias("mod_ms"),
+        (mod + (F.col("doc_id") * 7919) % 90000).alias("visible_ms"),
+    )
+
+
 def doc_name() -> Column:
     return F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".tif"))
 

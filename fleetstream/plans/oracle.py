@@ -238,3 +238,36 @@ SQL.update({
         SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM m)
         WHERE t BETWEEN 1.0 AND 864000.0""",
 })
+
+# Rewritten paths: the per-path recurrence as a recursive CTE over versions.
+_LO = "greatest(w.from_b, COALESCE(r.s_last + 70000, w.from_b))"
+_HI = "least(COALESCE(w.end_b, 9000000000000000000), w.mod_ms + 60000)"
+SQL["rewritten_files"] = f"""
+WITH RECURSIVE l AS (
+  SELECT '/data/src/' || source || '/' || CASE WHEN source = 'src0' THEN '.' ELSE '' END
+         || lang || '.tif' AS path,
+         (doc_id * 137) % 600000 AS mod_ms,
+         (doc_id * 137) % 600000 + (doc_id * 7919) % 90000 AS visible_ms
+  FROM documents),
+v AS (
+  SELECT path, mod_ms, visible_ms,
+         ((visible_ms + 4999) // 5000) * 5000 AS list_b,
+         greatest(((visible_ms + 4999) // 5000) * 5000, ((mod_ms + 4999) // 5000) * 5000) AS from_b,
+         (NOT starts_with(regexp_extract(path, '[^/]*$'), '.')) AND mod_ms > 30000 AS ok,
+         row_number() OVER (PARTITION BY path ORDER BY visible_ms, mod_ms) AS k
+  FROM l),
+w AS (SELECT *, lead(list_b) OVER (PARTITION BY path ORDER BY k) AS end_b FROM v),
+r AS (
+  SELECT path, k, mod_ms, visible_ms,
+         CASE WHEN ok AND from_b < least(COALESCE(end_b, 9000000000000000000), mod_ms + 60000)
+              THEN from_b END AS sel,
+         CASE WHEN ok AND from_b < least(COALESCE(end_b, 9000000000000000000), mod_ms + 60000)
+              THEN from_b END AS s_last
+  FROM w WHERE k = 1
+  UNION ALL
+  SELECT w.path, w.k, w.mod_ms, w.visible_ms,
+         CASE WHEN w.ok AND {_LO} < {_HI} THEN {_LO} END AS sel,
+         CASE WHEN w.ok AND {_LO} < {_HI} THEN {_LO} ELSE r.s_last END AS s_last
+  FROM r JOIN w ON w.path = r.path AND w.k = r.k + 1
+)
+SELECT path, mod_ms, visible_ms, sel IS NOT NULL AS selected, sel AS batch_ms FROM r"""
