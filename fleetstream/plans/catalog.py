@@ -401,6 +401,31 @@ def q_slow_listing(spark, sf_dir):
     return nf.progress_rows(spark, q).filter(F.col("num_input_rows") > 0)
 
 
+# -- sinks, written and read back --------------------------------------------
+
+def q_series_sink(spark, sf_dir):
+    """K3: the per-worker figure's points written as a parquet table
+    (partitioned by run) in the shared folder, then read back."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "series")
+    series = q_overlay_series(spark, sf_dir)
+    sinks.write_series(series, path)
+    # the written schema, so partition values (run names) keep their type
+    return spark.read.schema(series.schema).parquet(path).select(
+        "run", "worker", "line_id", "t", "value", "series")
+
+
+def q_message_table(spark, sf_dir):
+    """K4: envelope, target image and OS tag written as parquet, read back."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "messages")
+    routed = msg.pack(msg.route(fx.payloads(spark, sf_dir), _routes(spark, sf_dir)))
+    msg.write_messages(routed, path)
+    back = spark.read.parquet(path)
+    return back.select("image", "os", F.octet_length("envelope").cast("bigint").alias("n_bytes"),
+                       F.md5("envelope").alias("md5"))
+
+
 # -- the analyses on log folders ---------------------------------------------
 
 def q_cluster_timeline(spark, sf_dir):
@@ -459,6 +484,8 @@ QUERIES: dict[str, Query] = {
     "new_file_stream": q_new_file_stream,
     "restart_once": q_restart_once,
     "slow_listing": q_slow_listing,
+    "series_sink": q_series_sink,
+    "message_table": q_message_table,
     "cluster_timeline": q_cluster_timeline,
     "worker_timeline": q_worker_timeline,
 }

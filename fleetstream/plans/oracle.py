@@ -271,3 +271,9 @@ r AS (
   FROM r JOIN w ON w.path = r.path AND w.k = r.k + 1
 )
 SELECT path, mod_ms, visible_ms, sel IS NOT NULL AS selected, sel AS batch_ms FROM r"""
+
+SQL["series_sink"] = SQL["overlay_series"]
+SQL["message_table"] = f"""
+    SELECT 'fleet/' || lang || '-worker:1' AS image, 'ubuntu' AS os,
+           CAST(strlen(env) AS BIGINT) AS n_bytes, md5(env) AS md5
+    FROM (SELECT lang, {ENVELOPE} AS env FROM documents)"""
