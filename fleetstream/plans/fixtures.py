@@ -12,6 +12,7 @@ order key = ``event_id``; ``ts_ms`` = epoch milliseconds of ``ts`` (UTC).
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,6 +185,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- fixture files on shared storage -----------------------------------------
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.RLock()  # each fixture folder is written once, even from several threads
 
 
 def _fixture_dir(spark: SparkSession, sf_dir: str, kind: str) -> str:
@@ -191,31 +193,39 @@ def _fixture_dir(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return f"{shared_root(spark)}/fixtures/{kind}-{tag}"
 
 
+def _once(spark: SparkSession, sf_dir: str, kind: str, write) -> str:
+    """Write the fixture ``kind`` once per application and shared folder."""
+    key = (shared_root(spark), sf_dir, kind)
+    with _LOCK:
+        if key not in _WRITTEN:
+            path = _fixture_dir(spark, sf_dir, kind)
+            write(path)
+            _WRITTEN[key] = path
+        return _WRITTEN[key]
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> str:
     """Every document as its own file ``<root>/name=d<doc_id>/part-*.txt``
-    holding the text and a final newline.  Written once per application."""
-    key = (shared_root(spark), sf_dir, "docs")
-    if key not in _WRITTEN:
-        path = _fixture_dir(spark, sf_dir, "docs")
+    holding the text and a final newline."""
+    def write(path: str) -> None:
         d = table(spark, sf_dir, "documents")
         (d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text")
          .write.mode("overwrite").partitionBy("name").text(path))
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+    return _once(spark, sf_dir, "docs", write)
+
+
+def _write_logs(lines: DataFrame, path: str) -> None:
+    """One folder per run and host, lines in file order."""
+    (lines.repartition("run", "host")
+     .sortWithinPartitions("run", "host", "line_id", "seq")
+     .select("run", "host", "line")
+     .write.mode("overwrite").partitionBy("run", "host").text(path))
 
 
 def cpu_log_files(spark: SparkSession, sf_dir: str) -> str:
     """CPU log lines (with bursts) as ``<root>/run=<run>/host=<host>/*.txt``."""
-    key = (shared_root(spark), sf_dir, "cpulogs")
-    if key not in _WRITTEN:
-        path = _fixture_dir(spark, sf_dir, "cpulogs")
-        lines = cpu_lines(spark, sf_dir, bursts=True)
-        (lines.repartition("run", "host")
-         .sortWithinPartitions("run", "host", "line_id", "seq")
-         .select("run", "host", "line")
-         .write.mode("overwrite").partitionBy("run", "host").text(path))
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+    return _once(spark, sf_dir, "cpulogs",
+                 lambda path: _write_logs(cpu_lines(spark, sf_dir, bursts=True), path))
 
 
 def telemetry_files(spark: SparkSession, sf_dir: str) -> str:
@@ -223,18 +233,11 @@ def telemetry_files(spark: SparkSession, sf_dir: str) -> str:
     ``<root>/run=<run>/host=worker<i>/*.txt`` with the CPU lines (bursts
     included), ``<root>/run=<run>/host=master/*.txt`` with core counts and
     ``<root>/run=<run>/host=lists/*.txt`` with per-worker core lists."""
-    key = (shared_root(spark), sf_dir, "telemetry")
-    if key not in _WRITTEN:
-        path = _fixture_dir(spark, sf_dir, "telemetry")
+    def write(path: str) -> None:
         cpu = cpu_lines(spark, sf_dir, bursts=True).select("run", "host", "line_id", "seq", "line")
         cores = core_lines(spark, sf_dir).select("run", "host", "line_id",
                                                  F.lit(0).alias("seq"), "line")
         lists = core_list_lines(spark, sf_dir).select("run", F.lit("lists").alias("host"),
                                                       "line_id", F.lit(0).alias("seq"), "line")
-        (cpu.unionByName(cores).unionByName(lists)
-         .repartition("run", "host")
-         .sortWithinPartitions("run", "host", "line_id", "seq")
-         .select("run", "host", "line")
-         .write.mode("overwrite").partitionBy("run", "host").text(path))
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+        _write_logs(cpu.unionByName(cores).unionByName(lists), path)
+    return _once(spark, sf_dir, "telemetry", write)
