@@ -3,6 +3,8 @@
     python -m fleetstream.cli cluster --data data --run 2020-02-18 --start 100 --end 1000 --out out/
     python -m fleetstream.cli workers --data data --run 2020-04-05 --start 1 --end 800 --out out/
     python -m fleetstream.cli stream --watch /mnt/src --out out/ --checkpoint ck/ -- cmd {path}
+    python -m fleetstream.cli pack --files '/mnt/src/*' --type daemon_test --image img:1 --out msgs/
+    python -m fleetstream.cli work --messages msgs/ --out outcomes/ -- cmd -i {dir}
 
 ``--master`` defaults to the session's own setting (spark-submit) when run
 on a cluster.
@@ -13,8 +15,10 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import sinks
+from .operators import messages, sinks, tasks
+from .sources import files
 from .plans import analysis
 from .streaming import newfiles
 
@@ -44,6 +48,17 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--interval", default="5 seconds")
     s.add_argument("--once", action="store_true", help="drain what is there and stop")
     s.add_argument("argv", nargs="*", help="command per file; {path} {uri} {file_list} {out_dir}")
+    pk = sub.add_parser("pack", help="files -> routed message envelopes (K4)")
+    pk.add_argument("--files", required=True, help="glob of the payload files")
+    pk.add_argument("--type", default="default", help="message type of every payload")
+    pk.add_argument("--image", required=True, help="container image for that type")
+    pk.add_argument("--os", default=messages.DEFAULT_OS)
+    pk.add_argument("--copies", type=int, default=1)
+    pk.add_argument("--out", required=True)
+    wk = sub.add_parser("work", help="message envelopes -> one process per payload (UF2)")
+    wk.add_argument("--messages", required=True)
+    wk.add_argument("--out", required=True)
+    wk.add_argument("argv", nargs="+", help="command per payload; {dir} {file}")
     a = ap.parse_args(argv)
     spark = _session(a.master)
     if a.cmd == "cluster":
@@ -52,6 +67,16 @@ def main(argv: list[str] | None = None) -> None:
     elif a.cmd == "workers":
         series = analysis.worker_series(spark, a.data, a.run, start=a.start, end=a.end)
         sinks.write_series(series, a.out)
+    elif a.cmd == "pack":
+        payloads = files.load_binary(spark, a.files).select(
+            "name", F.lit(a.type).alias("type"), "content")
+        routes = spark.createDataFrame([(a.type, a.image, a.os)], "type string, image string, os string")
+        loaded = messages.load_messages(payloads, copies=a.copies)
+        messages.write_messages(messages.pack(messages.route(loaded, routes)), a.out)
+    elif a.cmd == "work":
+        decoded = messages.unpack(spark.read.parquet(a.messages), mode="strict")
+        done = tasks.run_per_payload(decoded.select("name", "image", "data"), a.argv)
+        done.write.mode("overwrite").parquet(a.out)
     else:
         handler = newfiles.task_handler(a.argv) if a.argv else None
         q = newfiles.start(newfiles.new_file_stream(spark, a.watch), a.out, a.checkpoint,

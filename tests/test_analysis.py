@@ -55,3 +55,21 @@ def test_cli_cluster(spark, workdir):
     out = os.path.join(workdir, "series")
     cli.main(["cluster", "--data", workdir, "--run", "r1", "--out", out])
     assert spark.read.parquet(out).count() == 4  # 2 cpu samples + 2 core samples
+
+
+def test_cli_message_path(spark, workdir):
+    """Flow C: files -> envelopes (K4) -> decode -> one process per payload (UF2)."""
+    from fleetstream import cli
+    src = os.path.join(workdir, "src")
+    os.makedirs(src)
+    for i, body in enumerate([b"the cell", b"no match", bytes([0xFF, 0x3B, 0x22, 0x80])]):
+        with open(os.path.join(src, f"img{i}.tif"), "wb") as fh:
+            fh.write(body)
+    msgs, outs = os.path.join(workdir, "msgs"), os.path.join(workdir, "outcomes")
+    cli.main(["pack", "--files", src + "/*.tif", "--type", "daemon_test", "--image", "cp:3",
+              "--copies", "2", "--out", msgs])
+    assert spark.read.parquet(msgs).count() == 6
+    cli.main(["work", "--messages", msgs, "--out", outs, "--", "grep", "-rqF", "the", "{dir}"])
+    got = sorted((r.name, r.outcome) for r in spark.read.parquet(outs).collect())
+    assert got == [("img0.tif", "success")] * 2 + [("img1.tif", "failed")] * 2 + \
+        [("img2.tif", "failed")] * 2
