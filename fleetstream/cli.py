@@ -41,6 +41,9 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--start", type=float)
         p.add_argument("--end", type=float)
         p.add_argument("--out", required=True)
+        if name == "cluster":
+            p.add_argument("--workers", default="1,2,3,4,5",
+                           help="worker indices in summation order, or 'auto' (from the logs)")
     s = sub.add_parser("stream")
     s.add_argument("--watch", required=True, help="folder or glob of folders to watch")
     s.add_argument("--out", required=True)
@@ -62,7 +65,9 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     spark = _session(a.master)
     if a.cmd == "cluster":
-        series = analysis.cluster_series(spark, a.data, a.run, start=a.start, end=a.end)
+        workers = None if a.workers == "auto" else [int(x) for x in a.workers.split(",")]
+        series = analysis.cluster_series(spark, a.data, a.run, workers=workers,
+                                         start=a.start, end=a.end)
         sinks.write_series(series, a.out)
     elif a.cmd == "workers":
         series = analysis.worker_series(spark, a.data, a.run, start=a.start, end=a.end)

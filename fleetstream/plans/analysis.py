@@ -58,13 +58,29 @@ def core_samples(spark: SparkSession, data: str, runs: str = "*", per_worker: bo
     return parsed.select("run", "block_start", "line_key", "p.ts_ms", "p.ts", "p.cores")
 
 
-def cluster_series(spark: SparkSession, data: str, runs: str = "*", workers: Sequence[int] = (1, 2, 3, 4, 5),
+MAX_WORKERS = 100_000
+
+
+def worker_ids(cpu: DataFrame) -> list[int]:
+    """The workers present in the CPU logs, in order (an open worker list).
+    One small distinct query; the list is bounded by the number of hosts."""
+    ids = [r.worker for r in cpu.select("worker").distinct().orderBy("worker")
+           .limit(MAX_WORKERS + 1).collect() if r.worker is not None]
+    if len(ids) > MAX_WORKERS:
+        raise ValueError("fleetstream: more worker hosts than MAX_WORKERS; pass workers= explicitly")
+    return ids
+
+
+def cluster_series(spark: SparkSession, data: str, runs: str = "*",
+                   workers: Sequence[int] | None = (1, 2, 3, 4, 5),
                    start: float | None = None, end: float | None = None,
                    total_cores: int = tl.TOTAL_CORES, cpu_files: str = CPU_FILES,
                    core_files: str = CORE_FILES) -> DataFrame:
     # parsed once and written as a table in the shared checkpoint folder:
     # the bucketed running total reads its input three times
     cpu = materialize(cpu_samples(spark, data, runs, files=cpu_files), "cpu-samples")
+    if workers is None:
+        workers = worker_ids(cpu)
     total = tl.cluster_running_total(cpu, list(workers), value_col="cpu", out="cluster_cpu",
                                      order_cols=ORDER)
     origin = tl.origins_of(cpu)

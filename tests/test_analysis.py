@@ -38,6 +38,16 @@ def test_cluster_series(spark, workdir):
     assert cores[0][1] == 2.0 and cores[1][1] is None
 
 
+def test_open_worker_list(spark, workdir):
+    _put(workdir, "r1/worker1/cpu.log", CPU)
+    _put(workdir, "r1/worker2/cpu.log", CPU2)
+    _put(workdir, "r1/master/cores.log", CORES)
+    a = analysis.cluster_series(spark, workdir, "r1", workers=[1, 2]).collect()
+    b = analysis.cluster_series(spark, workdir, "r1", workers=None).collect()
+    key = lambda r: (r.series, r.t)
+    assert sorted(a, key=key) == sorted(b, key=key)
+
+
 def test_worker_series(spark, workdir):
     _put(workdir, "r1/worker1/cpu.log", CPU)
     _put(workdir, "r1/master/cores.log", LISTS)
