@@ -27,10 +27,20 @@ from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Query parameters.
 # time ranges (seconds after the first sample) for trimmed / viewed series
 TRIM_START, TRIM_END = 100000.0, 1000000.0
 VIEW_START, VIEW_END = 1.0, 864000.0
-CPU_COLS = ["us", "sy", "ni", "id", "wa", "hi", "si", "st"]
+# pages hold no worker table cells; the same operator (P5) runs with a link pattern
+PAGE_PATTERN = r'href="([^"]*)"'
+# messages per catalogue payload
+MESSAGE_COPIES = 2
+# new-file selection: threshold at start (newFilesOnly)
+SELECTION_START_MS = 30000
+# external commands: byte count per file; "the" found in a payload
+TASK_ARGV = ["wc", "-c", "{path}"]
+RECORDED_ARGV = ["grep", "-rqF", "the", "{dir}"]
+CPU_COLS = list(parsers.CPU_FIELDS)
 
 
 # -- parsed series ----------------------------------------------------------
@@ -193,9 +203,6 @@ def q_page_counts(spark, sf_dir):
                         parsers.matches_joined("html", PAGE_PATTERN).alias("joined"))
 
 
-# pages hold no worker table cells; the same operator runs with a link pattern
-PAGE_PATTERN = r'href="([^"]*)"'
-
 
 def q_uri_path(spark, sf_dir):
     from ..functions.paths import file_uri, uri_to_path
@@ -249,14 +256,9 @@ def q_message_load(spark, sf_dir):
                          F.octet_length("envelope").cast("bigint").alias("n_bytes"))
 
 
-MESSAGE_COPIES = 2
-
 
 # -- new-file selection (batch replay) ----------------------------------------
 
-SELECTION_START_MS = 30000
-
-
 def _selection(spark, sf_dir):
     return sel.select_new_files(fx.listing(spark, sf_dir), start_ms=SELECTION_START_MS)
 
@@ -337,10 +339,6 @@ def q_by_file_transform(spark, sf_dir):
 
 # -- external tasks -----------------------------------------------------------
 
-TASK_ARGV = ["wc", "-c", "{path}"]
-RECORDED_ARGV = ["grep", "-rqF", "the", "{dir}"]
-
-
 def q_external_task(spark, sf_dir):
     files = srcf.list_files(spark, _doc_glob(spark, sf_dir)).select("path")
     done = tasks.run_per_file(files, TASK_ARGV, on_error="raise")
