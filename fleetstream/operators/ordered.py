@@ -7,9 +7,8 @@ of the leading order column, and compute per-bucket summaries over a small
 table (``#groups x #buckets`` rows).  Each row then needs only its own
 ``(group, bucket)`` partition plus the value carried in from earlier buckets.
 The big table is shuffled once, on ``(group, bucket)``; the join with the
-summaries uses the same keys, so the window reuses that partitioning.  Spark
-decides at run time (AQE) whether the summary side is small enough to
-broadcast.
+summaries is a merge join on the same keys, so the window reuses that
+partitioning and every bucket is its own share of the work, at any scale.
 """
 
 from __future__ import annotations
@@ -118,7 +117,11 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
 
     upto = (Window.partitionBy(*part).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, 0))
-    joined = b.join(carry, on=part, how="inner")
+    # merge join on the window's own keys: the big side is shuffled once by
+    # (group, bucket) and the window reuses that partitioning at any scale
+    # (a broadcast of the series side would hand the window to whatever
+    # partitioning the tiny carry table has)
+    joined = b.join(carry.hint("merge"), on=part, how="inner")
     latest = [
         F.coalesce(
             F.last(F.when(key == F.lit(k), F.col(value_col)), ignorenulls=True).over(upto),
@@ -182,7 +185,7 @@ def rank_and_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
         *[F.lag(f"_lastof_{c}").over(over_buckets).alias(f"_carry_{c}") for c in prev_cols],
     )
     inside = Window.partitionBy(*part).orderBy(*order_cols)
-    joined = b.join(summary, on=part, how="inner")
+    joined = b.join(summary.hint("merge"), on=part, how="inner")  # see running_latest_sum
     out = joined.withColumn(rank_col, F.col("_offset") + F.row_number().over(inside))
     for c in prev_cols:
         out = out.withColumn(
