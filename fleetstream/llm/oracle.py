@@ -2,4 +2,26 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op3_winnowing_decontamination": f"""
+with d as (select doc_id, {_ALNUM} w from documents),
+i as (select item_id, {_ALNUM} w from benchmark),
+iw as (
+  select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') g
+  from (select item_id, w, least(len(w), 10) n, unnest(range(1, len(w) - least(len(w), 10) + 2)) p
+        from i where len(w) > 0)),
+dw as (
+  select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') g
+  from (select doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) p from d, (select distinct n from iw))),
+hit as (select doc_id, p, n, item_id from dw join iw using (n, g)),
+cov as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from hit) group by 1),
+its as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items
+        from (select distinct doc_id, cast(item_id as varchar) item from hit) group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit,
+       cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(items, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 contaminated
+from d left join cov using (doc_id) left join its using (doc_id)""",
+}

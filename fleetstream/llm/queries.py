@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts
+from . import decontamination, packing, sharding, token_counts
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -21,4 +25,4 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_lpt_sharding, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_winnowing_decontamination, op6_lpt_sharding, op8_token_counts)}
