@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding, token_counts
+from . import decontamination, language_id, packing, sharding, token_counts
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op5_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs, sample=4000))
+
+
 def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -25,4 +30,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_winnowing_decontamination, op6_lpt_sharding, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_winnowing_decontamination,
+                                   op5_hierarchical_language_id, op6_lpt_sharding, op8_token_counts)}
