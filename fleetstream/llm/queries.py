@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, sharding, token_counts
+from . import decontamination, language_id, packing, quality, sharding, token_counts
 from .common import table
 
 
@@ -30,5 +30,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_winnowing_decontamination,
-                                   op5_hierarchical_language_id, op6_lpt_sharding, op8_token_counts)}
+                                   op5_hierarchical_language_id, op6_lpt_sharding, op8_token_counts,
+                                   op10_weak_supervision_quality)}
