@@ -6,6 +6,27 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _ALNUM = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL: dict[str, str] = {
+    "op2_suffix_array_line_dedup": r"""
+with l as (
+  select doc_id, i, a[i] line
+  from (select doc_id, a, unnest(range(1, len(a) + 1)) i
+        from (select doc_id, string_split(text, chr(10)) a from documents))),
+s as (
+  select doc_id, i, line, row_number() over (partition by doc_id order by i) pos
+  from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+n as (
+  select *, lead(line) over w next, lead(i) over w next_i from s window w as (partition by doc_id order by i)),
+f as (
+  select doc_id, i, next_i, row_number() over (partition by line, next order by doc_id, i) k from n where next is not null),
+gone as (
+  select doc_id, i from f where k > 1 union select doc_id, next_i from f where k > 1),
+kept as (
+  select doc_id, string_agg(line, chr(10) order by i) body from l anti join gone using (doc_id, i) group by 1)
+select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(coalesce(body, '')) kept_sha256
+from documents d
+left join (select doc_id, count(*) n_lines from s group by 1) using (doc_id)
+left join (select doc_id, count(*) n_removed from gone group by 1) using (doc_id)
+left join kept using (doc_id)""",
     "op3_winnowing_decontamination": f"""
 with d as (select doc_id, {_ALNUM} w from documents),
 i as (select item_id, {_ALNUM} w from benchmark),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, quality, sharding, token_counts
+from . import decontamination, language_id, line_dedup, packing, quality, sharding, token_counts
 from .common import table
 
 
@@ -13,6 +13,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op2_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_lines=2)
+    return out.select("doc_id", "n_lines", "n_removed",
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -34,6 +40,6 @@ def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_winnowing_decontamination,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_line_dedup, op3_winnowing_decontamination,
                                    op5_hierarchical_language_id, op6_lpt_sharding, op8_token_counts,
                                    op10_weak_supervision_quality)}
