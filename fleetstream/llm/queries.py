@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, packing, quality, sharding, token_counts
+from . import decontamination, jaccard, language_id, line_dedup, packing, quality, sharding, token_counts
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), threshold=80, size=5)
+
+
 def op5_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs, sample=4000))
@@ -41,5 +45,5 @@ def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_line_dedup, op3_winnowing_decontamination,
-                                   op5_hierarchical_language_id, op6_lpt_sharding, op8_token_counts,
+                                   op4_ngram_jaccard_join, op5_hierarchical_language_id, op6_lpt_sharding, op8_token_counts,
                                    op10_weak_supervision_quality)}
