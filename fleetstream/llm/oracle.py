@@ -45,4 +45,16 @@ select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigi
        cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(items, '')) items_sha256,
        coalesce(n_hit, 0) > 0 contaminated
 from d left join cov using (doc_id) left join its using (doc_id)""",
+    "op7_suffix_tree_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select doc_id, p, array_to_string(w[p:p + 19], ' ') g
+        from (select doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) p from d)),
+late as (select doc_id, p from (select doc_id, p, row_number() over (partition by g order by doc_id, p) k from win) where k > 1),
+gone as (select distinct doc_id, unnest(range(p, p + 20)) i from late),
+kept as (
+  select doc_id, string_agg(word, ' ' order by i) body
+  from (select doc_id, i, w[i] word from (select doc_id, w, unnest(range(1, len(w) + 1)) i from d)) anti join gone using (doc_id, i)
+  group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n, 0) n_removed, sha256(coalesce(body, '')) kept_sha256
+from d left join (select doc_id, count(*) n from gone group by 1) using (doc_id) left join kept using (doc_id)""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language_id, line_dedup, packing, quality, sharding, token_counts
+from . import decontamination, jaccard, language_id, line_dedup, packing, quality, sharding, substring_dedup, token_counts
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_suffix_tree_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), length=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=2048)
 
@@ -45,5 +50,5 @@ def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_line_dedup, op3_winnowing_decontamination,
-                                   op4_ngram_jaccard_join, op5_hierarchical_language_id, op6_lpt_sharding, op8_token_counts,
+                                   op4_ngram_jaccard_join, op5_hierarchical_language_id, op6_lpt_sharding, op7_suffix_tree_substring_dedup, op8_token_counts,
                                    op10_weak_supervision_quality)}
