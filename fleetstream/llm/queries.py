@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language_id, line_dedup, packing, quality, sharding, substring_dedup, token_counts
+from . import decontamination, jaccard, language_id, line_dedup, packing, quality, secret_scan, sharding, substring_dedup, token_counts
 from .common import table
 
 
@@ -45,10 +45,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op9_random_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), sample=20_000)
+
+
 def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_line_dedup, op3_winnowing_decontamination,
-                                   op4_ngram_jaccard_join, op5_hierarchical_language_id, op6_lpt_sharding, op7_suffix_tree_substring_dedup, op8_token_counts,
+                                   op4_ngram_jaccard_join, op5_hierarchical_language_id, op6_lpt_sharding, op7_suffix_tree_substring_dedup, op8_token_counts, op9_random_forest_secret_scan,
                                    op10_weak_supervision_quality)}
