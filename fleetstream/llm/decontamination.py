@@ -163,3 +163,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id",
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns, without those that share a window with an item."""
+    _, spans = matches(docs, benchmark, id=id, text=text, **options)
+    hit = stored(spans.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "contaminated")
+    key = F.md5(F.coalesce(F.col(text), F.lit("")))
+    return docs.join(hit, F.col(id).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")

@@ -321,3 +321,11 @@ def similar_documents(docs: DataFrame, *, threshold: int = 80, size: int = 5, fr
     return (slim.join(least, "component", "left")
             .select(F.col("id").alias(id), F.col("n").alias("n_shingles"),
                     F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns, without those whose component has a smaller id;
+    of rows that repeat an id and a text one stays."""
+    found = similar_documents(docs, id=id, text=text, **options)
+    gone = stored(found.filter("component_id < " + f"`{id}`").select(F.col(id).alias("__id")).distinct(), "near-copies")
+    return docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left_anti").dropDuplicates([id, text])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, text_steps
+from .common import ddl, ship, text_steps
 
 #: Families of languages by ISO 639-1 code; a language not named here is a family of its own.
 FAMILIES = {
@@ -180,6 +180,18 @@ def fit(docs: DataFrame, *, sample: int = 4000, families: dict[str, list[str]] |
 
 def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, lang_pred, score of each row of ``docs``."""
+    return _predicted(docs.select(F.col(id), F.col(text)), model, text).select(
+        id, held_out(id).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def identified(docs: DataFrame, model: Model, *, min_score: float = 0.0, text: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language with a score of ``min_score`` or more."""
+    out = _predicted(docs, model, text).filter((F.col("__lang") != "und") & (F.col("__score") >= min_score))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _predicted(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """``docs`` with __lang and __score."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # 2^DIM_BITS weights for each machine
@@ -188,7 +200,8 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
         m = shared.value
         columns = [np.ascontiguousarray(m.weights[:, c]) for c in range(m.weights.shape[1])]
         for b in batches:
-            for i, j, buf, off in text_steps(b.column(3)):
+            letter = b.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, buf, off in text_steps(b.column(names.index(text))):
                 code = gram_codes(buf)
                 n = np.maximum(1, np.diff(off))
                 margins = np.zeros((j - i, len(columns)))
@@ -196,14 +209,12 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
                     total = np.r_[0, np.cumsum(w[code], dtype=np.float64)]
                     margins[:, c] = (total[off[1:]] - total[off[:-1]]) / n + m.bias[c]
                 lang, score = m.predict(margins)
-                no = ~b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)
-                lang[no], score[no] = "und", 0.0
+                lang[~letter[i:j]], score[~letter[i:j]] = "und", 0.0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=["id", "held_out", "lang_pred", "score"])
-
-    rows = docs.select(F.col(id).alias("id"), held_out(id).alias("held_out"),
-                       F.coalesce(F.col(text).rlike(_LETTER), F.lit(False)).alias("letter"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return (rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double")
-            .withColumnRenamed("id", id))
+                    [*(x.slice(i, j - i) for x in b.columns[:-1]), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    names=[*names, "__lang", "__score"])
+
+    names = docs.columns
+    letter = F.coalesce(F.col(text).rlike(_LETTER), F.lit(False))
+    return (docs.withColumn("__letter", letter)
+            .mapInArrow(run, ddl(docs) + ", __lang string, __score double"))
