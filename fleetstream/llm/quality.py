@@ -111,14 +111,14 @@ START = ((0.4, 0.2, 0.4), (0.05, 0.5, 0.45))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], *, steps: int = 100, prior: float = 0.85,
-             ) -> tuple[float, list[tuple[tuple[float, ...], tuple[float, ...]]]]:
+             rules_n: int = 0) -> tuple[float, list[tuple[tuple[float, ...], tuple[float, ...]]]]:
     """EM over (votes, count): the share of good documents and, for each rule,
     how often it votes (bad, good, not at all) on bad and on good ones.
 
     Rules err independently given the class.  A bad vote stays at least as
     likely on bad documents, and a good vote on good ones, so that the classes
     cannot swap."""
-    rules_n = len(patterns[0][0]) if patterns else 0
+    rules_n = len(patterns[0][0]) if patterns else rules_n
     model = [START] * rules_n
     total = sum(c for _, c in patterns)
     for _ in range(steps if total else 0):
@@ -157,7 +157,7 @@ def quality(docs: DataFrame, *, threshold: float = 0.5, id: str = "doc_id", text
     names = [f"vote_{k}" for k in votes]
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counted = rows.groupBy(*names).count().collect()  # 3^rules rows at most
-    prior, model = estimate(sorted((tuple(r[:-1]), r["count"]) for r in counted))
+    prior, model = estimate(sorted((tuple(r[:-1]), r["count"]) for r in counted), rules_n=len(names))
     odds = F.lit(math.log(prior / (1 - prior)))
     for name, r in zip(names, model, strict=True):
         odds = odds + F.when(F.col(name) == 0, _weight(0, r)).when(F.col(name) == 1, _weight(1, r)).otherwise(_weight(-1, r))
