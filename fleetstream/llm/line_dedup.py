@@ -104,7 +104,8 @@ def dedup_lines(docs: DataFrame, *, min_lines: int = 2, id: str = "doc_id", text
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: x[i]), "\n"))
     n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
                               lambda x: F.trim(x, F.lit(BLANKS)) != "")).cast("long")
-    joined = docs.join(gone, F.col(id).eqNullSafe(F.col("__id")) & (_key(text) == F.col("__key")), "left")
+    # always a shuffle join: the lists grow with the corpus, and one plan serves every size
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id).eqNullSafe(F.col("__id")) & (_key(text) == F.col("__key")), "left")
     return joined.select(
         *(F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`")
           for c in docs.columns),
