@@ -88,6 +88,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers each that a broadcast may hold.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(rows: DataFrame) -> DataFrame:
+    """A stored table of keys as the small side of a join: broadcast up to
+    ``BROADCAST_ROWS`` rows (some tens of megabytes), shuffled beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("shuffle_hash")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: one aggregate, to size partitions by."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, ship, stored, text_steps, window_hashes, window_starts, word_hashes
+from .common import ALNUM, Words, ship, small_or_shuffled, stored, text_steps, window_hashes, window_starts, word_hashes
 
 BLOOM_BITS = 23
 
@@ -170,4 +170,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id"
     _, spans = matches(docs, benchmark, id=id, text=text, **options)
     hit = stored(spans.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "contaminated")
     key = F.md5(F.coalesce(F.col(text), F.lit("")))
-    return docs.join(hit, F.col(id).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")
+    return docs.join(small_or_shuffled(hit), F.col(id).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti")

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (NOT_SPACE, Words, mix, parts, ship, spread, stored, text_bytes, text_steps, window_hashes,
+from .common import (NOT_SPACE, Words, mix, parts, ship, small_or_shuffled, spread, stored, text_bytes, text_steps, window_hashes,
                      window_starts, word_hashes)
 
 #: Bits of a shingle's hash behind those that choose its bucket; sent as 6 bytes.
@@ -328,4 +328,4 @@ def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **op
     of rows that repeat an id and a text one stays."""
     found = similar_documents(docs, id=id, text=text, **options)
     gone = stored(found.filter("component_id < " + f"`{id}`").select(F.col(id).alias("__id")).distinct(), "near-copies")
-    return docs.join(gone, F.col(id).eqNullSafe(F.col("__id")), "left_anti").dropDuplicates([id, text])
+    return docs.join(small_or_shuffled(gone), F.col(id).eqNullSafe(F.col("__id")), "left_anti").dropDuplicates([id, text])
