@@ -7,7 +7,7 @@ Modules:
 * ``fleetstream.sources`` -- ``logs`` (run/host log folders), ``files`` (file
   listings, whole files, samples).
 * ``fleetstream.operators`` -- ``timeline``, ``ordered``, ``selection``,
-  ``slices``, ``messages``, ``tasks``, ``sinks``, ``joins``.
+  ``slices``, ``messages``, ``tasks``, ``sinks``.
 * ``fleetstream.streaming.newfiles`` -- the new-file stream.
 * ``fleetstream.plans`` -- ``analysis`` (log folders -> figure series),
   ``catalog`` / ``oracle`` (registered queries and their SQL), ``fixtures``.

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .operators import messages, sinks, tasks
 from .sources import files
 from .plans import analysis
+from .session import spread
 from .streaming import newfiles
 
 
@@ -42,14 +43,22 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--end", type=float)
         p.add_argument("--out", required=True)
         if name == "cluster":
-            p.add_argument("--workers", default="1,2,3,4,5",
+            p.add_argument("--workers", default="auto",
                            help="worker indices in summation order, or 'auto' (from the logs)")
+        p.add_argument("--lines", choices=("drop", "strict"), default="drop",
+                       help="lines that don't parse: dropped and counted, or an error")
     s = sub.add_parser("stream")
     s.add_argument("--watch", required=True, help="folder or glob of folders to watch")
     s.add_argument("--out", required=True)
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--interval", default="5 seconds")
     s.add_argument("--once", action="store_true", help="drain what is there and stop")
+    s.add_argument("--max-slices", type=int, help="most partitions of a batch (default: the cluster's cores)")
+    s.add_argument("--all-files", action="store_true", help="also files from before the first start")
+    s.add_argument("--name", help="take only files whose name matches this glob, e.g. '*.tif'")
+    s.add_argument("--task-out", help="shared folder for {out_dir} (default: <out>/task-out)")
+    s.add_argument("--timeout", type=float, help="seconds that a command may take")
+    s.add_argument("--on-error", choices=("raise", "record"), default="raise")
     s.add_argument("argv", nargs="*", help="command per file; {path} {uri} {file_list} {out_dir}")
     pk = sub.add_parser("pack", help="files -> routed message envelopes (K4)")
     pk.add_argument("--files", required=True, help="glob of the payload files")
@@ -61,17 +70,21 @@ def main(argv: list[str] | None = None) -> None:
     wk = sub.add_parser("work", help="message envelopes -> one process per payload (UF2)")
     wk.add_argument("--messages", required=True)
     wk.add_argument("--out", required=True)
+    wk.add_argument("--keep", help="shared folder that failed payloads are kept in")
+    wk.add_argument("--timeout", type=float, help="seconds that a command may take")
     wk.add_argument("argv", nargs="+", help="command per payload; {dir} {file}")
     a = ap.parse_args(argv)
     spark = _session(a.master)
     if a.cmd == "cluster":
         workers = None if a.workers == "auto" else [int(x) for x in a.workers.split(",")]
         series = analysis.cluster_series(spark, a.data, a.run, workers=workers,
-                                         start=a.start, end=a.end)
+                                         start=a.start, end=a.end, mode=a.lines)
         sinks.write_series(series, a.out)
+        analysis.bad_lines(spark, a.data, a.run).filter("n_bad > 0").show(truncate=False)
     elif a.cmd == "workers":
-        series = analysis.worker_series(spark, a.data, a.run, start=a.start, end=a.end)
+        series = analysis.worker_series(spark, a.data, a.run, start=a.start, end=a.end, mode=a.lines)
         sinks.write_series(series, a.out)
+        analysis.bad_lines(spark, a.data, a.run, per_worker=True).filter("n_bad > 0").show(truncate=False)
     elif a.cmd == "pack":
         payloads = files.load_binary(spark, a.files).select(
             "name", F.lit(a.type).alias("type"), "content")
@@ -80,12 +93,16 @@ def main(argv: list[str] | None = None) -> None:
         messages.write_messages(messages.pack(messages.route(loaded, routes)), a.out)
     elif a.cmd == "work":
         decoded = messages.unpack(spark.read.parquet(a.messages), mode="strict")
-        done = tasks.run_per_payload(decoded.select("name", "image", "data"), a.argv)
+        done = tasks.run_per_payload(spread(decoded.select("name", "image", "data")), a.argv,
+                                     timeout_s=a.timeout, keep_root=a.keep)
         done.write.mode("overwrite").parquet(a.out)
     else:
-        handler = newfiles.task_handler(a.argv) if a.argv else None
-        q = newfiles.start(newfiles.new_file_stream(spark, a.watch), a.out, a.checkpoint,
-                           handler, available_now=a.once, interval=a.interval)
+        handler = newfiles.task_handler(a.argv, on_error=a.on_error, timeout_s=a.timeout,
+                                        out_root=a.task_out or f"{a.out.rstrip('/')}/task-out") if a.argv else None
+        files_in = newfiles.new_file_stream(spark, a.watch, path_glob_filter=a.name,
+                                            new_files_only=not a.all_files, checkpoint=a.checkpoint)
+        q = newfiles.start(files_in, a.out, a.checkpoint, handler, available_now=a.once,
+                           interval=a.interval, max_slices=a.max_slices)
         q.awaitTermination()
 
 

@@ -45,7 +45,8 @@ def parse_core_line(line) -> Column:
     cores_txt = F.regexp_extract(line, CORES_OLD_PATTERN, 1)
     ts_ms = F.regexp_extract(line, CORES_OLD_PATTERN, 2).try_cast("bigint")
     return F.struct(
-        line.rlike(CORES_OLD_PATTERN).alias("ok"),
+        (line.rlike(CORES_OLD_PATTERN) & ts_ms.isNotNull()
+         & ((cores_txt == "") | cores_txt.try_cast("int").isNotNull())).alias("ok"),
         F.nullif(cores_txt, F.lit("")).try_cast("int").alias("cores"),
         ts_ms.alias("ts_ms"),
         ms_to_seconds(ts_ms).alias("ts"),
@@ -59,7 +60,8 @@ def parse_core_list_line(line) -> Column:
     parts = F.filter(F.split(listed, ","), lambda x: x != F.lit(""))
     ts_ms = F.regexp_extract(line, CORES_PER_WORKER_PATTERN, 3).try_cast("bigint")
     return F.struct(
-        line.rlike(CORES_PER_WORKER_PATTERN).alias("ok"),
+        (line.rlike(CORES_PER_WORKER_PATTERN) & ts_ms.isNotNull()
+         & F.forall(parts, lambda x: x.try_cast("int").isNotNull())).alias("ok"),
         F.transform(parts, lambda x: x.try_cast("int")).alias("cores"),
         ts_ms.alias("ts_ms"),
         ms_to_seconds(ts_ms).alias("ts"),
@@ -79,8 +81,9 @@ def parse_cpu_line(line) -> Column:
     ts_ms = F.get(nums, len(CPU_FIELDS)).try_cast("bigint")
     us = F.get(nums, 0).try_cast("double")
     sy = F.get(nums, 1).try_cast("double")
+    numbers = F.slice(nums, 1, len(CPU_FIELDS))
     return F.struct(
-        ok.alias("ok"),
+        (ok & ts_ms.isNotNull() & F.forall(numbers, lambda x: x.try_cast("double").isNotNull())).alias("ok"),
         *fields,
         ts_ms.alias("ts_ms"),
         ms_to_seconds(ts_ms).alias("ts"),
@@ -93,7 +96,7 @@ def parse_completion_line(line, prefix: str = COMPLETION_PREFIX) -> Column:
     line = _col(line)
     pattern = "^" + _quote(prefix) + r"([0-9]+)$"
     return F.struct(
-        line.rlike(pattern).alias("ok"),
+        (line.rlike(pattern) & F.regexp_extract(line, pattern, 1).try_cast("bigint").isNotNull()).alias("ok"),
         F.regexp_extract(line, pattern, 1).try_cast("bigint").alias("completed_s"),
     )
 

@@ -12,6 +12,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def decoded(path) -> Column:
+    """Plain path of a URL-encoded one (``_metadata.file_path`` encodes blanks
+    and the like; file listings don't).  A literal ``+`` stays a plus."""
+    return F.url_decode(F.replace(_col(path), F.lit("+"), F.lit("%2B")))
+
+
+def scanned_path() -> Column:
+    """Plain path of the file that a row was scanned from."""
+    return decoded(F.col("_metadata.file_path"))
+
+
 def uri_to_path(uri) -> Column:
     """Drop the five characters ``file:`` (the prefix is not checked)."""
     return F.substring(_col(uri), len(URI_SCHEME) + 1, 1 << 30)

@@ -20,35 +20,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+#: Rows that a bucket holds, about; a window over one is one task's work.
+ROWS_PER_BUCKET = 200_000
 
+_NUMBER = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
-def default_bucket_count(spark) -> int:
-    """A few buckets per shuffle partition, so every task gets work."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(4, 4 * parts)
 
-
-def add_range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
+def add_range_bucket(df: DataFrame, order_cols: Sequence[str] | str, n_buckets: int | None = None,
                      out: str = BUCKET) -> DataFrame:
-    """Equal-count ranges of ``order_col`` (numeric, not NULL) as an int column.
-
-    The bounds come from ``approxQuantile`` (one pass, map-side sketches);
-    only ``n_buckets`` doubles reach the driver.  The lookup is Spark's
-    binary-search ``Bucketizer`` on the JVM side.
+    """Equal-count ranges of the order (first column numeric) as an int column.
+
+    The number of buckets follows the row count.  Rows that tie in the first
+    column are split by the second one, where that is numeric too: the key is
+    the first value plus the second's place between its least and greatest,
+    as a fraction under the first column's smallest step of 1.  A tie in the
+    key stays in one bucket; the key never goes against the order.  Bounds
+    come from ``approxQuantile``: one double for each bucket reaches the
+    driver.  The lookup is Spark's binary-search ``Bucketizer``.
     """
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    types = dict(df.dtypes)
+    first = F.col(order_cols[0]).cast("double")
+    tie = order_cols[1] if len(order_cols) > 1 and types[order_cols[1]] in _NUMBER else None
+    whole = types[order_cols[0]] in _NUMBER[:4]  # steps of 1: room for a fraction
+    tie = tie if whole else None
+    low, high = (F.min(tie), F.max(tie)) if tie else (F.lit(0), F.lit(0))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("base"), low.alias("low"), high.alias("high")).first()
+    spark = df.sparkSession
     if n_buckets is None:
-        n_buckets = default_bucket_count(df.sparkSession)
+        n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), -(-r["n"] // ROWS_PER_BUCKET))
+    key = first - F.lit(r["base"] if r["base"] is not None else 0.0)
+    if tie and r["high"] is not None and r["high"] > r["low"]:
+        key = key + F.coalesce((F.col(tie) - F.lit(r["low"])) / F.lit(float(r["high"] - r["low"]) * 1.001), F.lit(0.0))
+    tmp = out + "_d"
+    keyed = df.withColumn(tmp + "_k", key)
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    rel_err = 1.0 / (4 * n_buckets)
-    bounds = df.approxQuantile(order_col, probs, rel_err) if probs else []
-    inner = sorted({float(b) for b in bounds if b is not None})
-    if not inner:
-        inner = [0.0]
+    bounds = keyed.approxQuantile(tmp + "_k", probs, 1.0 / (4 * n_buckets)) if probs else []
+    inner = sorted({float(b) for b in bounds if b is not None}) or [0.0]
     splits = [float("-inf"), *inner, float("inf")]
-    tmp = out + "_d"
-    bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol=tmp,
-                          handleInvalid="keep").transform(df)
-    return bucketed.withColumn(out, F.col(tmp).cast("int")).drop(tmp)
+    bucketed = Bucketizer(splits=splits, inputCol=tmp + "_k", outputCol=tmp,
+                          handleInvalid="keep").transform(keyed)
+    return bucketed.withColumn(out, F.col(tmp).cast("int")).drop(tmp, tmp + "_k")
+
+
+def join_groups(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table that has one row for each group; a NULL key is a
+    group like any other.  Keeps the columns of ``df``."""
+    other = small.withColumnsRenamed({c: f"_g_{c}" for c in on})
+    cond = None
+    for c in on:
+        same = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        cond = same if cond is None else cond & same
+    return df.join(other, cond, how).drop(*[f"_g_{c}" for c in on])
 
 
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
@@ -75,12 +98,6 @@ def _ordering(df: DataFrame, order_cols: Sequence[str], skip: Sequence[str] = ()
     return F.struct(*[F.col(c) for c in cols])
 
 
-def _cast_order(df: DataFrame, order_col: str) -> tuple[DataFrame, str]:
-    """Bucketizer reads doubles; keep the original column untouched."""
-    name = "_order_d"
-    return df.withColumn(name, F.col(order_col).cast("double")), name
-
-
 def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
                        keys: Sequence, value_col: str, order_cols: Sequence[str],
                        out: str = "total", n_buckets: int | None = None) -> DataFrame:
@@ -97,8 +114,7 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
     """
     group_cols = list(group_cols)
     order_cols = list(order_cols)
-    d, order_d = _cast_order(df, order_cols[0])
-    b = add_range_bucket(d, order_d, n_buckets).drop(order_d)
+    b = add_range_bucket(df, order_cols, n_buckets)
     part = group_cols + [BUCKET]
     order_struct = _ordering(b, order_cols, skip=[key_col])
     key = F.col(key_col)
@@ -121,7 +137,7 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
     # (group, bucket) and the window reuses that partitioning at any scale
     # (a broadcast of the series side would hand the window to whatever
     # partitioning the tiny carry table has)
-    joined = b.join(carry.hint("merge"), on=part, how="inner")
+    joined = join_groups(b, carry.hint("merge"), part)
     latest = [
         F.coalesce(
             F.last(F.when(key == F.lit(k), F.col(value_col)), ignorenulls=True).over(upto),
@@ -157,19 +173,19 @@ def running_latest_sum_single(df: DataFrame, group_cols: Sequence[str], key_col:
 
 def rank_and_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                       prev_cols: Sequence[str] = (), rank_col: str = "_rank",
-                      n_buckets: int | None = None) -> DataFrame:
+                      n_buckets: int | None = None, total_col: str | None = None) -> DataFrame:
     """1-based row number in ``order_cols`` order within each group, plus the
     previous row's ``prev_cols`` (``prev_<name>``, NULL on the first row) --
     ``row_number`` and ``lag`` over a whole group, without one task per group.
 
-    Bucket counts give each bucket's row offset; the last row of the previous
+    ``total_col``: rows of the group.  Bucket counts give each bucket's row
+    offset and the group's total; the last row of the previous
     non-empty bucket gives the ``lag`` value of a bucket's first row.
     """
     group_cols = list(group_cols)
     order_cols = list(order_cols)
     prev_cols = list(prev_cols)
-    d, order_d = _cast_order(df, order_cols[0])
-    b = add_range_bucket(d, order_d, n_buckets).drop(order_d)
+    b = add_range_bucket(df, order_cols, n_buckets)
     part = group_cols + [BUCKET]
     order_struct = _ordering(b, order_cols)
 
@@ -182,10 +198,11 @@ def rank_and_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     summary = per_bucket.select(
         *part,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_n").over(Window.partitionBy(*group_cols)).alias(total_col)] if total_col else []),
         *[F.lag(f"_lastof_{c}").over(over_buckets).alias(f"_carry_{c}") for c in prev_cols],
     )
     inside = Window.partitionBy(*part).orderBy(*order_cols)
-    joined = b.join(summary.hint("merge"), on=part, how="inner")  # see running_latest_sum
+    joined = join_groups(b, summary.hint("merge"), part)  # see running_latest_sum
     out = joined.withColumn(rank_col, F.col("_offset") + F.row_number().over(inside))
     for c in prev_cols:
         out = out.withColumn(
@@ -194,18 +211,3 @@ def rank_and_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
             .otherwise(F.lag(c).over(inside)),
         )
     return out.drop(BUCKET, "_offset", *[f"_carry_{c}" for c in prev_cols])
-
-
-def first_per_group(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                    out: str) -> DataFrame:
-    """Per-group origin (``min``) joined back: the rebase anchor of W2 without a
-    whole-group window (partial aggregation, small join side)."""
-    origin = df.groupBy(*group_cols).agg(F.min(order_col).alias(out))
-    return df.join(origin, on=list(group_cols), how="inner")
-
-
-def col_sum(cols: Sequence[Column]) -> Column:
-    total = cols[0]
-    for c in cols[1:]:
-        total = total + c
-    return total

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import col_sum, rank_and_previous, running_latest_sum
+from .ordered import join_groups, rank_and_previous, running_latest_sum
 
 # Load-rate and share parameters of the scaling manager
 # (names and defaults as published with the reference).
@@ -43,7 +43,11 @@ def cluster_running_total(samples: DataFrame, workers: Sequence[int],
                           order_cols: Sequence[str] = ("ts_ms", "worker", "line_id"),
                           n_buckets: int | None = None) -> DataFrame:
     """W1 + G3: at every sample, the sum over ``workers`` (in that order) of
-    each worker's latest value; a worker not seen yet counts 0."""
+    each worker's latest value; a worker not seen yet counts 0.  A sample of a
+    worker outside of ``workers`` fails the job: its share would be missing."""
+    known = F.col("worker").isin(list(workers))
+    samples = samples.withColumn("worker", F.when(known, F.col("worker")).otherwise(F.raise_error(F.concat(
+        F.lit("fleetstream: sample of an undeclared worker "), F.coalesce(F.col("worker").cast("string"), F.lit("NULL"))))))
     return running_latest_sum(samples, group_cols, "worker", workers, value_col,
                               order_cols, out=out, n_buckets=n_buckets)
 
@@ -71,8 +75,9 @@ def rebase(df: DataFrame, origins: DataFrame, ts_col: str = "ts", out: str = "t"
            on: Sequence[str] = ("run",)) -> DataFrame:
     """``t = ts - origin`` with a per-run origin table ``(run, origin)``.
     The origin may come from another series (cluster view: first CPU sample;
-    per-worker view: first cores sample)."""
-    return df.join(origins, on=list(on), how="inner").withColumn(
+    per-worker view: first cores sample).  A run without an origin keeps its
+    rows, with ``t`` NULL."""
+    return join_groups(df, origins.select(*on, "origin"), list(on), "left").withColumn(
         out, F.col(ts_col) - F.col("origin")).drop("origin")
 
 
@@ -82,15 +87,19 @@ def origins_of(df: DataFrame, ts_col: str = "ts", on: Sequence[str] = ("run",))
     return df.groupBy(*on).agg(F.min(ts_col).alias("origin"))
 
 
-def trim(df: DataFrame, start: float, end: float, t_col: str = "t") -> DataFrame:
-    """``start < t <= end`` (plain range; see README for the argmax quirk)."""
-    t = F.col(t_col)
-    return df.filter((t > F.lit(start)) & (t <= F.lit(end)))
+def trim(df: DataFrame, start: float | None, end: float | None, t_col: str = "t") -> DataFrame:
+    """``start < t <= end`` (plain range; see README for the argmax
+    quirk).  A bound of None trims nothing on its side."""
+    if start is not None:
+        df = df.filter(F.col(t_col) > F.lit(start))
+    return df if end is None else df.filter(F.col(t_col) <= F.lit(end))
 
 
-def view_range(df: DataFrame, start: float, end: float, t_col: str = "t") -> DataFrame:
-    """the figure's closed x range ``[start, end]``."""
-    return df.filter(F.col(t_col).between(F.lit(start), F.lit(end)))
+def view_range(df: DataFrame, start: float | None, end: float | None, t_col: str = "t") -> DataFrame:
+    """the figure's closed x range ``[start, end]``; None leaves a side open."""
+    if start is not None:
+        df = df.filter(F.col(t_col) >= F.lit(start))
+    return df if end is None else df.filter(F.col(t_col) <= F.lit(end))
 
 
 def overlay(allocated: DataFrame, measured: DataFrame,
@@ -102,6 +111,14 @@ def overlay(allocated: DataFrame, measured: DataFrame,
     return a.unionByName(m)
 
 
+def cores_over_executors(polls: DataFrame, json_col: str, keys: Sequence[str]) -> DataFrame:
+    """Total cores of each poll, summed over one row for each executor of
+    its list; a poll whose list is empty or no JSON has NULL."""
+    items = F.from_json(F.col(json_col), "array<struct<id:string,totalCores:int>>")
+    rows = polls.select(*keys, F.explode_outer(items).alias("x"))
+    return rows.groupBy(*keys).agg(F.sum(F.col("x.totalCores").cast("bigint")).alias("total_cores"))
+
+
 def last_of_burst(lines: DataFrame, burst_cols: Sequence[str], order_col: str,
                   line_col: str = "line", marker: str = "Cpu(s)") -> DataFrame:
     """F8: ``grep marker | tail -n 1`` per burst: among the lines holding
@@ -120,7 +137,7 @@ def makespan(completions: DataFrame, starts: DataFrame,
         F.count(F.lit(1)).alias("n_tasks"),
         F.max("completed_s").alias("last_completed_s"))
     start = starts.groupBy(*on).agg(F.min("ts_ms").alias("start_ms"))
-    return done.join(start, on=list(on), how="inner").withColumn(
+    return join_groups(done, start, list(on)).withColumn(
         "makespan_s", F.col("last_completed_s") - F.col("start_ms") / F.lit(1000))
 
 
@@ -175,5 +192,5 @@ def default_share(requests: DataFrame, profiles: DataFrame, image_col: str = "im
 __all__ = [
     "splice_workers", "cluster_running_total", "core_equivalents", "allocated_fraction",
     "per_worker_cores", "rebase", "origins_of", "trim", "view_range", "overlay",
-    "last_of_burst", "makespan", "load_rate", "default_share", "col_sum",
+    "cores_over_executors", "last_of_burst", "makespan", "load_rate", "default_share",
 ]

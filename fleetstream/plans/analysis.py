@@ -43,7 +43,8 @@ def cpu_samples(spark: SparkSession, data: str, runs: str = "*", mode: str = "dr
     parsed = keep_parsed(lines.withColumn("p", parsers.parse_cpu_line("line")), "p", mode)
     return parsed.select(
         "run", "host",
-        F.regexp_extract("host", r"([0-9]+)$", 1).cast("int").alias("worker"),
+        F.coalesce(F.regexp_extract("host", r"([0-9]+)$", 1).try_cast("int"), F.raise_error(
+            F.concat(F.lit("fleetstream: no worker number in host name "), "host"))).alias("worker"),
         "block_start", "line_key", "p.ts_ms", "p.ts", "p.cpu")
 
 
@@ -58,7 +59,8 @@ def core_samples(spark: SparkSession, data: str, runs: str = "*", per_worker: bo
     return parsed.select("run", "block_start", "line_key", "p.ts_ms", "p.ts", "p.cores")
 
 
-MAX_WORKERS = 100_000
+# the running total holds one column for each worker
+MAX_WORKERS = 1_000
 
 
 def worker_ids(cpu: DataFrame) -> list[int]:
@@ -67,43 +69,62 @@ def worker_ids(cpu: DataFrame) -> list[int]:
     ids = [r.worker for r in cpu.select("worker").distinct().orderBy("worker")
            .limit(MAX_WORKERS + 1).collect() if r.worker is not None]
     if len(ids) > MAX_WORKERS:
-        raise ValueError("fleetstream: more worker hosts than MAX_WORKERS; pass workers= explicitly")
+        raise ValueError(f"fleetstream: more than {MAX_WORKERS} worker hosts")
     return ids
 
 
+def bad_lines(spark: SparkSession, data: str, runs: str = "*", per_worker: bool = False,
+              cpu_files: str = CPU_FILES, core_files: str = CORE_FILES) -> DataFrame:
+    """Lines that the parsers drop: ``(run, host, log, n_lines, n_bad)``."""
+    fn = parsers.parse_core_list_line if per_worker else parsers.parse_core_line
+    cpu = scan_logs(spark, data, f"{runs}/{cpu_files}").select(
+        "run", "host", F.lit("cpu").alias("log"), parsers.parse_cpu_line("line")["ok"].alias("ok"))
+    core = scan_logs(spark, data, f"{runs}/{core_files}").select(
+        "run", "host", F.lit("cores").alias("log"), fn("line")["ok"].alias("ok"))
+    return cpu.unionByName(core).groupBy("run", "host", "log").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum((~F.col("ok")).cast("bigint")).alias("n_bad"))
+
+
 def cluster_series(spark: SparkSession, data: str, runs: str = "*",
-                   workers: Sequence[int] | None = (1, 2, 3, 4, 5),
+                   workers: Sequence[int] | None = None,
                    start: float | None = None, end: float | None = None,
-                   total_cores: int = tl.TOTAL_CORES, cpu_files: str = CPU_FILES,
-                   core_files: str = CORE_FILES) -> DataFrame:
+                   total_cores: int | None = None, cpu_files: str = CPU_FILES,
+                   core_files: str = CORE_FILES, mode: str = "drop",
+                   cores_per_worker: int = tl.CORES_PER_WORKER) -> DataFrame:
+    """``workers``: those to sum, in that order; None: all in the logs.  A
+    sample of any other fails the job.  A run without CPU samples is on the
+    clock of its first cores sample."""
     # parsed once and written as a table in the shared checkpoint folder:
     # the bucketed running total reads its input three times
-    cpu = materialize(cpu_samples(spark, data, runs, files=cpu_files), "cpu-samples")
-    if workers is None:
-        workers = worker_ids(cpu)
-    total = tl.cluster_running_total(cpu, list(workers), value_col="cpu", out="cluster_cpu",
-                                     order_cols=ORDER)
-    origin = tl.origins_of(cpu)
-    cpu_s = tl.rebase(total, origin).select(
-        "run", F.lit("cpu").alias("series"), F.lit(None).cast("int").alias("worker"), "t",
-        tl.core_equivalents(F.col("cluster_cpu"), len(workers), total_cores).alias("value"))
-    cores = tl.rebase(core_samples(spark, data, runs, files=core_files), origin).select(
+    cpu = materialize(cpu_samples(spark, data, runs, mode, files=cpu_files), "cpu-samples")
+    core = materialize(core_samples(spark, data, runs, mode=mode, files=core_files), "core-samples")
+    workers = worker_ids(cpu) if workers is None else list(workers)
+    if total_cores is None:
+        total_cores = cores_per_worker * len(workers)
+    first = tl.origins_of(cpu).withColumn("first", F.lit(0)).unionByName(tl.origins_of(core).withColumn("first", F.lit(1)))
+    origin = first.groupBy("run").agg(F.min_by("origin", "first").alias("origin"))
+    cores = tl.rebase(core, origin).select(
         "run", F.lit("cores").alias("series"), F.lit(None).cast("int").alias("worker"), "t",
         F.col("cores").cast("double").alias("value"))
-    out = cpu_s.unionByName(cores)
-    return tl.trim(out, start, end) if start is not None and end is not None else out
+    out = cores
+    if workers:
+        total = tl.cluster_running_total(cpu, workers, value_col="cpu", out="cluster_cpu", order_cols=ORDER)
+        out = tl.rebase(total, origin).select(
+            "run", F.lit("cpu").alias("series"), F.lit(None).cast("int").alias("worker"), "t",
+            tl.core_equivalents(F.col("cluster_cpu"), len(workers), total_cores).alias("value")).unionByName(cores)
+    return tl.trim(out, start, end)
 
 
 def worker_series(spark: SparkSession, data: str, runs: str = "*",
                   start: float | None = None, end: float | None = None,
                   cores_per_worker: int = tl.CORES_PER_WORKER, cpu_files: str = CPU_FILES,
-                  core_files: str = CORE_FILES) -> DataFrame:
-    lists = core_samples(spark, data, runs, per_worker=True, files=core_files)
+                  core_files: str = CORE_FILES, mode: str = "drop") -> DataFrame:
+    lists = materialize(core_samples(spark, data, runs, per_worker=True, mode=mode, files=core_files), "core-lists")
+    cpu = cpu_samples(spark, data, runs, mode, files=cpu_files)
     origin = tl.origins_of(lists)
     alloc = tl.rebase(tl.per_worker_cores(lists), origin).select(
         "run", F.lit("allocated").alias("series"), "worker", "t",
         tl.allocated_fraction(F.col("cores"), cores_per_worker).alias("value"))
-    measured = tl.rebase(cpu_samples(spark, data, runs, files=cpu_files), origin).select(
+    measured = tl.rebase(cpu, origin).select(
         "run", F.lit("measured").alias("series"), "worker", "t", F.col("cpu").alias("value"))
-    out = alloc.unionByName(measured)
-    return tl.view_range(out, start, end) if start is not None and end is not None else out
+    return tl.view_range(alloc.unionByName(measured), start, end)

@@ -22,7 +22,7 @@ from ..operators import slices as slc
 from ..operators import tasks
 from ..operators import timeline as tl
 from ..sources import files as srcf
-from ..session import materialize
+from ..session import materialize, spread
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,14 @@ MESSAGE_COPIES = 2
 # new-file selection: threshold at start (newFilesOnly)
 SELECTION_START_MS = 30000
 # external commands: byte count per file; "the" found in a payload
-TASK_ARGV = ["wc", "-c", "{path}"]
-RECORDED_ARGV = ["grep", "-rqF", "the", "{dir}"]
+TASK_ARGV = ["sh", "-c", 'wc -c < "$1" | tee "$2/res.csv"', "count", "{path}", "{out_dir}"]
+# payloads named *00.tif take too long, those named *1.tif print a byte that is no UTF-8
+RECORDED_ARGV = ["sh", "-c", 'case "$1" in *00.tif) exec sleep 30;; *1.tif) printf "\\377";; esac; grep -qF the "$1"',
+                 "look", "{file}"]
+# files of one batch when listing times are recorded
+LISTING_FILES = 200
+MISSING_ARGV = ["no-such-command-here", "{file}"]
+TASK_TIMEOUT_S = 1.0
 CPU_COLS = list(parsers.CPU_FIELDS)
 
 
@@ -111,6 +117,14 @@ def q_metric_lines(spark, sf_dir):
     return cpu.unionByName(cores).unionByName(lists)
 
 
+def q_metric_line_files(spark, sf_dir):
+    """K2: the metric lines written as text files by run and kind, and read back."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "metric-lines")
+    sinks.write_lines(q_metric_lines(spark, sf_dir), path, partition_cols=["run", "kind"])
+    return spark.read.schema("line string, run string, kind string").text(path).select("run", "kind", "line")
+
+
 def q_splice_workers(spark, sf_dir):
     cpu = cpu_samples(spark, sf_dir)
     return tl.splice_workers(cpu.select("run", "worker", "line_id", "ts_ms", "ts", "cpu"))
@@ -155,15 +169,26 @@ def q_alloc_fraction(spark, sf_dir):
                              tl.allocated_fraction(F.col("cores")).alias("fraction"))
 
 
-def q_overlay_series(spark, sf_dir):
+def _worker_points(spark, sf_dir):
     """Per-worker figure: allocated (cores / 8) and measured CPU per worker,
-    on the clock of the first cores sample, in the viewed range."""
-    lists = core_list_samples(spark, sf_dir)
+    on the clock of the first cores sample."""
+    lists = materialize(core_list_samples(spark, sf_dir), "core-lists")  # parsed once
     origin = tl.origins_of(lists)
     alloc = tl.rebase(tl.per_worker_cores(lists), origin).withColumn(
         "value", tl.allocated_fraction(F.col("cores")))
     measured = tl.rebase(cpu_samples(spark, sf_dir), origin).withColumn("value", F.col("cpu"))
-    return tl.view_range(tl.overlay(alloc, measured), VIEW_START, VIEW_END)
+    return tl.overlay(alloc, measured)
+
+
+def q_overlay_series(spark, sf_dir):
+    """The figure's points in the viewed range."""
+    return tl.view_range(_worker_points(spark, sf_dir), VIEW_START, VIEW_END)
+
+
+def q_executor_cores_sum(spark, sf_dir):
+    """The same total, summed over one row for each executor."""
+    e = fx.executor_lists(spark, sf_dir)
+    return tl.cores_over_executors(e, "json", ["run", "line_id", "ts_ms"])
 
 
 def q_executor_cores(spark, sf_dir):
@@ -249,6 +274,20 @@ def q_route_lookup(spark, sf_dir):
     return routed.select("name", "type", "image", "os")
 
 
+def q_binary_load(spark, sf_dir):
+    """Bytes, base name and size of every file."""
+    files = srcf.load_binary(spark, _doc_glob(spark, sf_dir))
+    return files.select(_name_from_path(), "length", F.md5("content").alias("md5"),
+                        F.col("name").endswith(".txt").alias("is_text"))
+
+
+def q_message_draw(spark, sf_dir):
+    """A stated number of messages over the catalogue of payloads."""
+    catalogue = fx.payloads(spark, sf_dir).select("doc_id", "name", "type")
+    n = 3 * catalogue.count() // 2
+    return msg.draw_messages(catalogue, n, ["doc_id"]).select("message_id", "name", "type")
+
+
 def q_message_load(spark, sf_dir):
     loaded = msg.load_messages(fx.payloads(spark, sf_dir), copies=MESSAGE_COPIES)
     routed = msg.pack(msg.route(loaded, _routes(spark, sf_dir)))
@@ -329,29 +368,47 @@ def q_named_lines(spark, sf_dir):
 
 
 def q_by_file_transform(spark, sf_dir):
+    """G5 + UF3: a function over each file's lines, in file order."""
     from ..sources.logs import named_lines
-    lines = named_lines(spark, fx.document_files(spark, sf_dir), "*/*")
-    pairs = tasks.transform_by_file(lines, tasks.name_lines)
-    return pairs.groupBy(_name_from_path()).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum((F.col("line") == "").cast("bigint")).alias("n_empty"))
+
+    def summary(path, lines):
+        n = empty = 0
+        last = None
+        for n, line in enumerate(lines, 1):
+            empty += line == ""
+            last = line or last
+        yield path, n, empty, len((last or "").encode())
+
+    lines = named_lines(spark, fx.document_files(spark, sf_dir), "*/*", with_order_key=True)
+    done = tasks.apply_per_file(lines, summary, "path string, n_lines long, n_empty long, last_bytes long")
+    return done.select(_name_from_path(), "n_lines", "n_empty", "last_bytes")
 
 
 # -- external tasks -----------------------------------------------------------
 
 def q_external_task(spark, sf_dir):
+    """UF1: a command that prints a number and writes it into its output
+    folder; the files are read back from there."""
+    from ..session import scratch_path, to_local_path
     files = srcf.list_files(spark, _doc_glob(spark, sf_dir)).select("path")
-    done = tasks.run_per_file(files, TASK_ARGV, on_error="raise")
-    n = F.split(F.trim(F.col("output")), " ").getItem(0).try_cast("bigint")
-    return done.select(_name_from_path(), "status", n.alias("n_bytes"),
-                       parsers.parse_completion_line("completion")["ok"].alias("completion_ok"))
+    out_root = to_local_path(scratch_path(spark, "task-out"))
+    done = materialize(tasks.run_per_file(spread(files), TASK_ARGV, on_error="raise", out_root=out_root), "task-rows")
+    written = srcf.whole_files(spark, f"file:{out_root}/*/res.csv").select(
+        F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.trim("text").try_cast("bigint").alias("n_written"))
+    rows = done.select(_name_from_path(), "status", F.trim("output").try_cast("bigint").alias("n_bytes"),
+                       parsers.parse_completion_line("completion", tasks.COMPLETED)["ok"].alias("completion_ok"),
+                       F.element_at(F.split("out_dir", "/"), -1).alias("folder"))
+    return rows.join(written, "folder", "left").drop("folder")
 
 
 def q_external_task_recorded(spark, sf_dir):
+    """UF2: statuses recorded, also of payloads that take too long, of output
+    that is no UTF-8 and of a command that doesn't exist."""
     packed = msg.pack(fx.payloads(spark, sf_dir)).select("doc_id", "envelope")
-    decoded = msg.unpack(packed, mode="strict").select("name", "data")
-    done = tasks.run_per_payload(decoded, RECORDED_ARGV)
-    return done.select("name", "status", "outcome")
+    decoded = spread(msg.unpack(packed, mode="strict").select("name", "data"))
+    looked = tasks.run_per_payload(decoded, RECORDED_ARGV, timeout_s=TASK_TIMEOUT_S).withColumn("command", F.lit("look"))
+    missing = tasks.run_per_payload(decoded, MISSING_ARGV).withColumn("command", F.lit("missing"))
+    return looked.unionByName(missing).select("command", "name", "status", "outcome")
 
 
 # -- streams ------------------------------------------------------------------
@@ -360,43 +417,95 @@ def q_new_file_stream(spark, sf_dir):
     from ..session import scratch_path
     from ..streaming import newfiles as nf
     work = scratch_path(spark, "stream")
-    q = nf.start(nf.new_file_stream(spark, _doc_glob(spark, sf_dir)), f"{work}/out",
+    q = nf.start(nf.new_file_stream(spark, _doc_glob(spark, sf_dir), new_files_only=False), f"{work}/out",
                  f"{work}/checkpoint")
     q.awaitTermination()
     res = nf.read_results(spark, f"{work}/out")
     return res.select(_name_from_path(), "length")
 
 
-def q_restart_once(spark, sf_dir):
-    """Drain the first wave, stop, add the second wave, restart from the
-    checkpoint: every file is processed once."""
+def q_timed_trigger(spark, sf_dir):
+    """The same files by a stream on a fixed interval, stopped when it has caught up."""
     from ..session import scratch_path
     from ..streaming import newfiles as nf
-    work = scratch_path(spark, "restart")
+    work = scratch_path(spark, "timed")
+    q = nf.start(nf.new_file_stream(spark, _doc_glob(spark, sf_dir), new_files_only=False), f"{work}/out",
+                 f"{work}/checkpoint", available_now=False, interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    res = nf.read_results(spark, f"{work}/out", "counts")
+    return res.agg(F.sum("n_files").alias("n_files"))
+
+
+def _waves(spark, sf_dir, src):
+    """Documents as files, in two waves by language."""
     docs = fx.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text",
         F.when(F.col("lang") == "en", F.lit(1)).otherwise(F.lit(2)).alias("wave"))
-    src = f"{work}/src"
     for wave in (1, 2):
         (docs.filter(F.col("wave") == wave).drop("wave")
          .write.mode("overwrite").partitionBy("name").text(f"{src}/wave={wave}"))
-        q = nf.start(nf.new_file_stream(spark, f"{src}/*/*/*"), f"{work}/out",
-                     f"{work}/checkpoint")
-        q.awaitTermination()
+        yield wave
+
+
+def q_restart_once(spark, sf_dir):
+    """T8 + F5: a stream of new files only, started on an empty folder; each
+    wave of files comes while it is down.  After each restart from the
+    checkpoint every file is processed once, and none is missed."""
+    from ..session import scratch_path
+    from ..streaming import newfiles as nf
+    work = scratch_path(spark, "restart")
+    src = f"{work}/src"
+
+    def drain():
+        files = nf.new_file_stream(spark, f"{src}/*/*/*", new_files_only=True, checkpoint=f"{work}/checkpoint")
+        nf.start(files, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+
+    nf.ensure_dir(spark, src)
+    drain()
+    for _ in _waves(spark, sf_dir, src):
+        drain()
     res = nf.read_results(spark, f"{work}/out")
     return res.groupBy(_name_from_path()).agg(
         F.first("length").alias("length"), F.count(F.lit(1)).alias("n_seen"))
 
 
 def q_slow_listing(spark, sf_dir):
+    """One row for each batch, recorded while the stream runs."""
+    import time
+
     from ..session import scratch_path
     from ..streaming import newfiles as nf
     work = scratch_path(spark, "progress")
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
-    q = nf.start(nf.new_file_stream(spark, _doc_glob(spark, sf_dir), max_files_per_trigger=200),
-                 f"{work}/out", f"{work}/checkpoint")
+    listener = nf.ProgressTable(spark, f"{work}/progress", query=work)
+    spark.streams.addListener(listener)
+    try:
+        files = nf.new_file_stream(spark, _doc_glob(spark, sf_dir), max_files_per_trigger=LISTING_FILES,
+                                   new_files_only=False)
+        nf.start(files, f"{work}/out", f"{work}/checkpoint", name=work).awaitTermination()
+        want = nf.read_results(spark, f"{work}/out", "counts").count()
+        for _ in range(100):  # events come a little later
+            rows = nf.progress_rows(spark, f"{work}/progress").filter("num_input_rows > 0")
+            if rows.count() >= want:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    return rows.select("batch_id", "num_input_rows", "trigger_ms")
+
+
+def q_named_line_stream(spark, sf_dir):
+    """Lines of arriving files with their name, through a parquet sink."""
+    from ..session import scratch_path
+    from ..sources.logs import named_line_stream
+    work = scratch_path(spark, "lines")
+    q = (named_line_stream(spark, _doc_glob(spark, sf_dir)).writeStream.format("parquet")
+         .option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return nf.progress_rows(spark, q).filter(F.col("num_input_rows") > 0)
+    return spark.read.parquet(f"{work}/out").select(_name_from_path(), "line")
 
 
 # -- sinks, written and read back --------------------------------------------
@@ -406,7 +515,7 @@ def q_series_sink(spark, sf_dir):
     (partitioned by run) in the shared folder, then read back."""
     from ..session import scratch_path
     path = scratch_path(spark, "series")
-    series = q_overlay_series(spark, sf_dir)
+    series = _worker_points(spark, sf_dir)
     sinks.write_series(series, path)
     # the written schema, so partition values (run names) keep their type
     return spark.read.schema(series.schema).parquet(path).select(
@@ -435,14 +544,41 @@ def q_cluster_timeline(spark, sf_dir):
 
 
 def q_worker_timeline(spark, sf_dir):
-    """Per-worker figure from the log folders (scan -> P2/P3 -> A2 -> M4 -> W2 -> U3 -> F7)."""
+    """Per-worker figure's points from the log folders (scan -> P2/P3 -> A2 -> M4 -> W2 -> U3)."""
     from . import analysis
     root = fx.telemetry_files(spark, sf_dir)
-    return analysis.worker_series(spark, root, "*", VIEW_START, VIEW_END,
-                                  cpu_files="host=worker*/*.txt", core_files="host=lists/*.txt")
+    return analysis.worker_series(spark, root, "*", cpu_files="host=worker*/*.txt", core_files="host=lists/*.txt")
+
+
+def q_sparse_timeline(spark, sf_dir):
+    """The whole-cluster figure where one run has no CPU log at all: it stays,
+    on the clock of its first cores sample."""
+    from . import analysis
+    root = fx.sparse_telemetry_files(spark, sf_dir)
+    return analysis.cluster_series(spark, root, "*", workers=fx.WORKERS, cpu_files="host=worker*/*.txt",
+                                   core_files="host=master/*.txt")
+
+
+def q_null_runs(spark, sf_dir):
+    """W1 and W3 where every third worker's run, or series, is NULL: a group like any other."""
+    cpu = _cpu_series(spark, sf_dir).withColumn("run", F.when(F.col("worker") != 3, F.col("run")))
+    total = tl.cluster_running_total(cpu, fx.WORKERS, value_col="cpu", out="value").select(
+        F.lit("total").alias("kind"), "run", "line_id", "value")
+    queues = fx.queue_lengths(spark, sf_dir).withColumn("series", F.when(F.col("event_id") % 3 != 0, F.col("series")))
+    rate = tl.load_rate(queues).select(
+        F.lit("rate").alias("kind"), F.col("series").alias("run"), F.col("event_id").alias("line_id"), F.col("rate").alias("value"))
+    return total.unionByName(rate)
 
 
 QUERIES: dict[str, Query] = {
+    "sparse_timeline": q_sparse_timeline,
+    "null_runs": q_null_runs,
+    "message_draw": q_message_draw,
+    "binary_load": q_binary_load,
+    "metric_line_files": q_metric_line_files,
+    "executor_cores_sum": q_executor_cores_sum,
+    "named_line_stream": q_named_line_stream,
+    "timed_trigger": q_timed_trigger,
     "cluster_cpu": q_cluster_cpu,
     "cpu_log": q_cpu_log,
     "last_of_burst": q_last_of_burst,

@@ -216,7 +216,9 @@ def document_files(spark: SparkSession, sf_dir: str) -> str:
 
 def _write_logs(lines: DataFrame, path: str) -> None:
     """One folder per run and host, lines in file order."""
-    (lines.repartition("run", "host")
+    # a host's lines in ranges of their order: as many tasks as there is data for
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (lines.repartitionByRange(n, "run", "host", "line_id", "seq")
      .sortWithinPartitions("run", "host", "line_id", "seq")
      .select("run", "host", "line")
      .write.mode("overwrite").partitionBy("run", "host").text(path))
@@ -241,3 +243,13 @@ def telemetry_files(spark: SparkSession, sf_dir: str) -> str:
                                                       "line_id", F.lit(0).alias("seq"), "line")
         _write_logs(cpu.unionByName(cores).unionByName(lists), path)
     return _once(spark, sf_dir, "telemetry", write)
+
+
+def sparse_telemetry_files(spark: SparkSession, sf_dir: str) -> str:
+    """As ``telemetry_files``, but the run ``click`` has no CPU logs; folder
+    names hold a blank."""
+    def write(path: str) -> None:
+        cpu = cpu_lines(spark, sf_dir, bursts=True).filter("run <> 'click'").select("run", "host", "line_id", "seq", "line")
+        cores = core_lines(spark, sf_dir).select("run", "host", "line_id", F.lit(0).alias("seq"), "line")
+        _write_logs(cpu.unionByName(cores).withColumn("run", F.concat("run", F.lit(" one"))), path)
+    return _once(spark, sf_dir, "sparse telemetry", write)

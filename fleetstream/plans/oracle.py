@@ -212,14 +212,17 @@ SQL.update({
     "named_lines": f"SELECT name, unnest(string_split(text, chr(10))) AS line FROM ({DOC_FILES})",
     "by_file_transform": f"""
         SELECT name, CAST(len(l) AS BIGINT) AS n_lines,
-               CAST(len(list_filter(l, lambda x: x = '')) AS BIGINT) AS n_empty
+               CAST(len(list_filter(l, lambda x: x = '')) AS BIGINT) AS n_empty,
+               CAST(strlen(COALESCE(list_filter(l, lambda x: x <> '')[-1], '')) AS BIGINT) AS last_bytes
         FROM (SELECT name, string_split(text, chr(10)) AS l FROM ({DOC_FILES}))""",
-    "external_task": f"SELECT name, 0 AS status, length AS n_bytes, TRUE AS completion_ok FROM ({DOC_FILES})",
+    "external_task": f"SELECT name, 0 AS status, length AS n_bytes, TRUE AS completion_ok, length AS n_written FROM ({DOC_FILES})",
     "external_task_recorded": """
-        SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name,
-               CASE WHEN contains(text, 'the') THEN 0 ELSE 1 END AS status,
-               CASE WHEN contains(text, 'the') THEN 'success' ELSE 'failed' END AS outcome
-        FROM documents""",
+        SELECT command, name, status, CASE WHEN status = 0 THEN 'success' ELSE 'failed' END AS outcome
+        FROM (SELECT 'look' AS command, name,
+                     CASE WHEN name LIKE '%00.tif' THEN 124 WHEN contains(text, 'the') THEN 0 ELSE 1 END AS status
+              FROM (SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name, text FROM documents)
+              UNION ALL
+              SELECT 'missing', 'd' || CAST(doc_id AS VARCHAR) || '.tif', 127 FROM documents)""",
     "new_file_stream": f"SELECT name, length FROM ({DOC_FILES})",
     "restart_once": f"SELECT name, length, CAST(1 AS BIGINT) AS n_seen FROM ({DOC_FILES})",
 })
@@ -235,9 +238,36 @@ SQL.update({
               FROM l JOIN o USING (run), range(0, 5) r(i) WHERE event_id % 13 <> 0),
         m AS (SELECT c.run, 'measured' AS series, worker, ts - origin AS t, cpu AS value
               FROM ({CPU}) c JOIN o USING (run))
-        SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM m)
-        WHERE t BETWEEN 1.0 AND 864000.0""",
+        SELECT * FROM a UNION ALL SELECT * FROM m""",
+    "timed_trigger": f"SELECT CAST(count(*) AS BIGINT) AS n_files FROM ({DOC_FILES})",
+    "slow_listing": f"""
+        SELECT CAST(b AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS num_input_rows, CAST(5000 AS BIGINT) AS trigger_ms
+        FROM (SELECT (row_number() OVER () - 1) // 200 AS b FROM ({DOC_FILES})) GROUP BY b""",
+    "binary_load": f"SELECT name, length, md5(text || chr(10)) AS md5, TRUE AS is_text FROM ({DOC_FILES})",
+    "message_draw": """
+        WITH c AS (SELECT 'd' || CAST(doc_id AS VARCHAR) || '.tif' AS name, lang AS type,
+                          row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS k FROM documents)
+        SELECT CAST(m AS BIGINT) AS message_id, name, type
+        FROM (SELECT unnest(range(0, (SELECT 3 * count(*) // 2 FROM documents))) AS m) JOIN c ON m % k = i""",
 })
+SQL["named_line_stream"] = SQL["named_lines"]
+SQL["executor_cores_sum"] = SQL["executor_cores"]
+SQL["metric_line_files"] = f"SELECT run, kind, line FROM ({SQL['metric_lines']})"
+# the run without CPU logs: its core counts on their own clock
+SQL["sparse_timeline"] = f"""
+    SELECT run || ' one' AS run, series, worker, t, value FROM (
+      SELECT run, series, CAST(NULL AS INTEGER) AS worker, t, value FROM ({REBASED_CLUSTER}) WHERE run <> 'click'
+      UNION ALL
+      SELECT run, 'cores', CAST(NULL AS INTEGER), ts - min(ts) OVER (), CAST(cores AS DOUBLE)
+      FROM ({CORES}) WHERE run = 'click')"""
+_NULL_CPU = f"SELECT * REPLACE (CASE WHEN worker <> 3 THEN run END AS run) FROM ({CPU})"
+SQL["null_runs"] = f"""
+    SELECT 'total' AS kind, run, line_id, cluster_cpu AS value
+    FROM ({CLUSTER.replace(CPU, _NULL_CPU)})
+    UNION ALL
+    SELECT 'rate', series, event_id, CAST(queue - lag(queue) OVER (PARTITION BY series ORDER BY ts_ms, event_id) AS DOUBLE)
+    FROM (SELECT CASE WHEN event_id % 3 <> 0 THEN event_type END AS series, event_id,
+                 epoch_us(ts) // 1000 AS ts_ms, CAST((event_id * 31) % 25 AS INTEGER) AS queue FROM events)"""
 
 # Rewritten paths: the per-path recurrence as a recursive CTE over versions.
 _LO = "greatest(w.from_b, COALESCE(r.s_last + 70000, w.from_b))"
@@ -272,7 +302,7 @@ r AS (
 )
 SELECT path, mod_ms, visible_ms, sel IS NOT NULL AS selected, sel AS batch_ms FROM r"""
 
-SQL["series_sink"] = SQL["overlay_series"]
+SQL["series_sink"] = SQL["overlay_series"][:SQL["overlay_series"].rindex("WHERE t BETWEEN")]
 SQL["message_table"] = f"""
     SELECT 'fleet/' || lang || '-worker:1' AS image, 'ubuntu' AS os,
            CAST(strlen(env) AS BIGINT) AS n_bytes, md5(env) AS md5

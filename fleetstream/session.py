@@ -58,19 +58,38 @@ def ensure_session_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def cluster_cores(spark: SparkSession) -> int:
+    """Cores that the cluster offers now (executors come and go)."""
+    sc = spark.sparkContext
+    tasks = int(sc.getConf().get("spark.task.cpus", "1"))
+    try:
+        per = int(sc.getConf().get("spark.executor.cores", "0"))
+        executors = sc._jsc.sc().getExecutorMemoryStatus().size() - 1  # less the driver
+        if per and executors > 0:
+            return max(1, per * executors // tasks)
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no JVM view
+        pass
+    return max(1, sc.defaultParallelism)
+
+
+def spread(df, least: int | None = None):
+    """Rows that each cost seconds of work (external tasks): dealt round-robin
+    over at least ``least`` partitions (default: the shuffle partitions)."""
+    n = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, cluster_cores(df.sparkSession)))
+
+
 def spread_if_narrow(df, min_partitions: int | None = None):
-    """Spread a scan with fewer partitions than the cluster's parallelism
-    (e.g. one small file with one row group) round-robin, so per-row CPU
-    work (regex, formatting) uses all cores.  Inputs that already come in
-    many splits -- every large input -- are returned unchanged: no shuffle
-    is added at scale."""
+    """For the small tables behind the registered queries' fixtures only: one
+    file with one row group is one split, however many cores there are.  An
+    input with more splits than one is returned unchanged."""
     try:
         sc = df.sparkSession.sparkContext
         want = min_partitions or sc.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - e.g. a Connect session has no RDD view
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(want) if have == 1 and want > 1 else df
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -80,6 +99,8 @@ def shared_root(spark: SparkSession) -> str:
     if not current:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
         if not configured:
+            if not sc.master.startswith("local"):
+                raise ValueError("fleetstream: set spark.checkpoint.dir to a folder that driver and executors share")
             # only reached when nothing is configured, as in local tests
             configured = tempfile.mkdtemp(prefix="fleetstream-ckpt-")
         sc.setCheckpointDir(configured)

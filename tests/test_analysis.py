@@ -33,7 +33,7 @@ def test_cluster_series(spark, workdir):
     # t=0: worker1 0.011; t=0.053: + worker2 0.75; t=1.63: worker1 0.0
     assert [round(t, 3) for t, _ in cpu] == [0.0, 0.053, 1.63]
     w1 = (0.0 + 1.1) / 100  # as parsed: (us + sy) / 100
-    assert [v for _, v in cpu] == [(w1 + 0.0) / 2 * 40, (w1 + 0.75) / 2 * 40, (0.0 + 0.75) / 2 * 40]
+    assert [v for _, v in cpu] == [(w1 + 0.0) / 2 * 16, (w1 + 0.75) / 2 * 16, (0.0 + 0.75) / 2 * 16]  # 8 cores a worker
     cores = sorted((r.t, r.value) for r in rows if r.series == "cores")
     assert cores[0][1] == 2.0 and cores[1][1] is None
 

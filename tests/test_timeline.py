@@ -107,7 +107,7 @@ def test_hot_run_is_split_across_buckets(spark):
         (F.col("id") * 7 % 100003).alias("ts"),
         (F.col("id") % 5).cast("int").alias("worker"),
         F.rand(3).alias("v"), F.col("id").alias("line"))
-    b = ordered.add_range_bucket(df.withColumn("_o", F.col("ts").cast("double")), "_o", k)
+    b = ordered.add_range_bucket(df, ["ts", "line"], k)
     sizes = [r["count"] for r in b.groupBy("run", "_bucket").count().collect()]
     assert max(sizes) <= 2 * n / k  # the hot run is cut into ~k pieces
     out = ordered.running_latest_sum(df, ["run"], "worker", [0, 1, 2, 3, 4], "v",
@@ -121,3 +121,50 @@ def test_hot_run_is_split_across_buckets(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(r["count"] for r in per_task) <= n / 2
+
+
+def test_ties_are_split_across_buckets(spark):
+    """Four distinct times: the second order column splits what ties in the first."""
+    from pyspark.sql import functions as F
+    n, k = 20000, 64
+    df = spark.range(n).select(F.lit("r").alias("run"), (F.col("id") % 4).alias("ts"), F.col("id").alias("line"),
+                               (F.col("id") % 5).cast("int").alias("worker"), F.rand(3).alias("v"))
+    b = ordered.add_range_bucket(df, ["ts", "line"], k)
+    sizes = [r["count"] for r in b.groupBy("_bucket").count().collect()]
+    assert len(sizes) >= k / 2 and max(sizes) <= 3 * n / k
+    args = (["run"], "worker", [0, 1, 2, 3, 4], "v", ["ts", "line"])
+    wide = ordered.running_latest_sum(df, *args, n_buckets=k).select("line", "total")
+    one = ordered.running_latest_sum_single(df, *args).select("line", F.col("total").alias("t2"))
+    assert wide.join(one, "line").filter("total <> t2").count() == 0 and wide.count() == n
+
+
+def test_null_groups_and_missing_origins(spark):
+    from fleetstream.operators import timeline as tl
+    df = spark.createDataFrame([(None, 1, 10, 0.5, 1), (None, 1, 20, 0.25, 2), ("a", 1, 15, 1.0, 3)],
+                               "run string, worker int, ts_ms long, cpu double, line_id long")
+    out = tl.cluster_running_total(df, [1])
+    assert sorted(r.cluster_cpu for r in out.collect()) == [0.25, 0.5, 1.0]
+    ranked = ordered.rank_and_previous(df, ["run"], ["ts_ms", "line_id"], ["cpu"], total_col="n")
+    assert sorted((r.line_id, r._rank, r.n, r.prev_cpu) for r in ranked.collect()) == \
+        [(1, 1, 2, None), (2, 2, 2, 0.5), (3, 1, 1, None)]
+    origins = spark.createDataFrame([(None, 10.0)], "run string, origin double")
+    t = {r.line_id: r.t for r in tl.rebase(df.withColumn("ts", df.ts_ms.cast("double")), origins).collect()}
+    assert t == {1: 0.0, 2: 10.0, 3: None}
+    assert tl.trim(df, 12, None, "ts_ms").count() == 2 and tl.trim(df, None, 15, "ts_ms").count() == 2
+
+
+def test_undeclared_worker_fails(spark):
+    import pytest
+    from fleetstream.operators import timeline as tl
+    df = spark.createDataFrame([("a", 6, 15, 0.9, 3)], "run string, worker int, ts_ms long, cpu double, line_id long")
+    with pytest.raises(Exception, match="undeclared worker 6"):
+        tl.cluster_running_total(df, [1, 2]).collect()
+
+
+def test_splice_is_in_order(spark):
+    """O1: rows come in time order, ties by worker, then by line."""
+    from fleetstream.operators import timeline as tl
+    rows = [("r", w, k, 1000 + k // 3) for k in range(40) for w in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "run string, worker int, line_id long, ts_ms long").repartition(4)
+    got = [(r.ts_ms, r.worker, r.line_id) for r in tl.splice_workers(df).collect()]
+    assert got == sorted(got) and len(got) == len(rows)
