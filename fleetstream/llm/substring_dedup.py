@@ -61,15 +61,18 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Arr
             yield step, zlib.crc32(off.tobytes(), zlib.crc32(buf)), b.column(1).slice(i, j - i), buf, off
 
 
-def _owned_anchors(w: Words, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window starts, hash of the anchor that each window owns)."""
+def _owned_anchors(w: Words, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window starts, place of the anchor that each window owns, its hash)."""
     starts = np.flatnonzero(window_starts(w, length))
     half = length // 2
     g = window_hashes(h, half)
-    best = np.full(len(starts), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for j in range(length - half + 1):
-        np.minimum(best, g[starts + j], out=best)
-    return starts, best
+    best, place = g[starts], starts.copy()
+    for j in range(1, length - half + 1):
+        x = g[starts + j]
+        less = x < best
+        best[less] = x[less]
+        place[less] = starts[less] + j
+    return starts, place, best
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -92,7 +95,7 @@ def _send_anchors(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step, _, _, buf, off in _steps(batches):
             w = Words(buf, off, NOT_SPACE)
-            u = np.unique(_owned_anchors(w, word_hashes(w), length)[1])
+            u = np.unique(_owned_anchors(w, word_hashes(w), length)[2])
             cut = np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1))
             yield _rows([(k, step, ANCHORS, u[cut[k]:cut[k + 1]].tobytes()) for k in range(buckets) if cut[k] < cut[k + 1]])
     return run
@@ -148,12 +151,13 @@ def _suffixes(length: int, buckets: int):
         check, ids, _, buf, off = _read_texts(body)
         w = Words(buf, off, NOT_SPACE)
         h = word_hashes(w)
-        starts, anchor = _owned_anchors(w, h, length)
+        starts, place, anchor = _owned_anchors(w, h, length)
         live = np.concatenate([np.frombuffer(b, np.uint64) for _, b in got.get(REPEATED, [])] or [np.zeros(0, np.uint64)])
-        u, back, n = np.unique(anchor, return_inverse=True, return_counts=True)
-        # an anchor that several windows of the step own may be one place or many
-        starts = starts[(np.isin(u, live) | (n > 1))[back]]
         g = window_hashes(h, half)
+        # anchors with several places in this step are repeated, too
+        u, n = np.unique(g[np.unique(place)], return_counts=True)
+        live = np.union1d(live, u[n > 1])
+        starts = starts[np.isin(anchor, live)]
         s = np.zeros(len(starts), _SUFFIX)
         s["prefix"], s["rest"] = g[starts], window_hashes(h, length - half)[starts + half] >> np.uint64(32)
         s["id"], s["at"] = ids[w.row[starts]], starts
