@@ -269,9 +269,9 @@ def _fits(x: str, y: str, threshold: int):
     return (100 * F.least(x, y) >= threshold * F.greatest(x, y))
 
 
-def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> DataFrame | None:
-    """(node, component) of the nodes with links; None if no two share a key."""
-    from .components import components
+def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> DataFrame:
+    """(node, component) of the nodes with links."""
+    from .components import components, merged
 
     entries = sets.select("node", "n", F.explode("keys").alias("key"))
     leaders = (entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last"))
@@ -280,10 +280,9 @@ def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> Dat
     first = (shared.filter(F.col("node") != F.col("lead.node")).filter(_fits("n", "lead.n", threshold))
              .select(*_pair("node", "lead.node")).distinct())
     tested = stored(_verified(first, sets, threshold), "jaccard-tested")
-    links = tested.filter("linked").select("a", "b")
+    comp = stored(components(tested.filter("linked").select("a", "b")), "jaccard-components")
     entries, done = shared.select("key", "node", "n"), None
     while True:
-        comp = stored(components(links), "jaccard-components")
         placed = entries.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # keys whose nodes are not all in one component
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -296,14 +295,16 @@ def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> Dat
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         picked = stored(todo.withColumn("r", rank).filter(F.col("r") <= F.greatest(F.lit(4), at_once / F.col("m")))
                         .select("key", "node", "n", "component"), "jaccard-picked")
-        if not picked.limit(1).count():
+        if picked.isEmpty():
             return comp
         others = entries_open.select("key", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("component").alias("c2"))
         pairs = (picked.join(others, "key").filter("component <> c2").filter(_fits("n", "n2", threshold))
                  .select(*_pair("node", "other")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         more = stored(_verified(pairs, sets, threshold), "jaccard-tested")
         tested = tested.unionByName(more)
-        links = tested.filter("linked").select("a", "b")
+        links = more.filter("linked").select("a", "b")
+        if not links.isEmpty():
+            comp = stored(merged(comp, links), "jaccard-components")
         now = picked.select("key", "node")
         done = now if done is None else done.unionByName(now)
         entries = entries_open.select("key", "node", "n")
