@@ -24,8 +24,10 @@ distinct shingles of ``size`` lower-cased words.
    smallest node is compared with the others, linked nodes are put together,
    and then, key by key, every node outside of the key's largest component is
    compared with all nodes of the key that aren't in its component yet, some
-   at a time, until none is left.  No pair in two components goes untested,
-   and groups of near copies never become all pairs.
+   at a time, until none is left.  A sketch with a proven bound (the bits that
+   differ need as many different shingles) keeps pairs that can't be similar
+   from being made.  No other pair in two components goes untested, and groups
+   of near copies never become all pairs.
 
 Intersections are counted on the sets, so a similarity is exact up to
 collisions of 54-bit hashes within two documents.
@@ -52,6 +54,8 @@ from .common import (NOT_SPACE, Words, mix, parts, ship, small_or_shuffled, spre
 
 #: Bits of a shingle's hash behind those that choose its bucket; sent as 6 bytes.
 LOW = np.uint64((1 << 48) - 1)
+#: Bits of a set's sketch: whether an odd number of its shared shingles falls on each.
+SKETCH = 512
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -222,24 +226,27 @@ def _documents(t_percent: int, frequent: int, id_type: pa.DataType):
             cut = np.searchsorted(row, np.arange(len(ids) + 1))
         else:
             tok, df, cut = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(len(ids) + 1, np.int64)
-        tokens, keys = [], []
+        tokens, keys, sketch = [], [], []
         for k, size in enumerate(n):
             a, z = cut[k], cut[k + 1]
             if size and z - a >= least_shared(size, t_percent):
                 tokens.append(np.sort(tok[a:z]).view(np.int64))
                 keys.append(index_keys(tok[a:z], df[a:z], size, t_percent, frequent).view(np.int64))
+                odd = np.bincount((mix(tok[a:z]) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             else:
                 tokens.append(None)
                 keys.append(None)
+                sketch.append(None)
         node = [x.to_bytes(8, "big") + y.to_bytes(8, "big") + s.to_bytes(4, "big") if s else None for (x, y), s in zip(sig, n, strict=True)]
         longs = pa.list_(pa.int64())
         return pa.table({"id": pa.array(ids, id_type), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.binary()),
-                         "tokens": pa.array(tokens, longs), "keys": pa.array(keys, longs)})
+                         "tokens": pa.array(tokens, longs), "keys": pa.array(keys, longs), "sketch": pa.array(sketch, longs)})
     return run
 
 
 def indexed(docs: DataFrame, *, threshold: int, size: int, frequent: int, id: str, text: str) -> DataFrame:
-    """(id, n, node, tokens, keys) of each document; node stands for its set."""
+    """(id, n, node, tokens, keys, sketch) of each document; node stands for its set."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
@@ -250,7 +257,8 @@ def indexed(docs: DataFrame, *, threshold: int, size: int, frequent: int, id: st
     answers = entries.groupBy("bucket").applyInArrow(_frequencies, "step long, kind int, body binary")
     return stored(answers.groupBy("step").applyInArrow(
         _documents(threshold, frequent, to_arrow_type(kind)),
-        f"id {kind.simpleString()}, n long, node binary, tokens array<long>, keys array<long>"), "jaccard-documents")
+        f"id {kind.simpleString()}, n long, node binary, tokens array<long>, keys array<long>, "
+        "sketch array<long>"), "jaccard-documents")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -269,6 +277,16 @@ def _fits(x: str, y: str, threshold: int):
     return (100 * F.least(x, y) >= threshold * F.greatest(x, y))
 
 
+def _may_link(x: list[str], y: list[str], nx: str, ny: str, threshold: int):
+    """Whether two sets can be similar enough, by what their difference has at
+    least: the shingles that no other document has, and one shingle for each
+    sketch bit that differs.  x, y: columns (shingles of its own, sketch...)."""
+    apart = F.col(x[0]) + F.col(y[0])
+    for a, b in zip(x[1:], y[1:], strict=True):
+        apart = apart + F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return (100 + threshold) * apart <= (100 - threshold) * (F.col(nx) + F.col(ny))
+
+
 def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> DataFrame:
     """(node, component) of the nodes with links."""
     from .components import components, merged
@@ -282,23 +300,27 @@ def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> Dat
     tested = stored(_verified(first, sets, threshold), "jaccard-tested")
     comp = stored(components(tested.filter("linked").select("a", "b")), "jaccard-components")
     entries, done = shared.select("key", "node", "n"), None
+    bits = [f"s{k}" for k in range(SKETCH // 64)]
+    sketches = sets.select("node", (F.col("n") - F.size("tokens")).alias("own"), *(F.col("sketch")[k].alias(c) for k, c in enumerate(bits)))
+    one, two = ["own", *bits], ["own2", *(f"{c}2" for c in bits)]
     while True:
         placed = entries.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # keys whose nodes are not all in one component
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
         open_keys = (sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"),
                                               F.sum("m").alias("m"), F.count("*").alias("k")).filter("k > 1"))
-        entries_open = stored(placed.join(open_keys.select("key", "main", "m"), "key"), "jaccard-open")
+        entries_open = stored(placed.join(open_keys.select("key", "main", "m"), "key").join(sketches, "node"), "jaccard-open")
         todo = entries_open.filter("component <> main")
         if done is not None:
             todo = todo.join(done, ["key", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         picked = stored(todo.withColumn("r", rank).filter(F.col("r") <= F.greatest(F.lit(4), at_once / F.col("m")))
-                        .select("key", "node", "n", "component"), "jaccard-picked")
+                        .select("key", "node", "n", "component", *one), "jaccard-picked")
         if picked.isEmpty():
             return comp
-        others = entries_open.select("key", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-        pairs = (picked.join(others, "key").filter("component <> c2").filter(_fits("n", "n2", threshold))
+        others = entries_open.select("key", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("component").alias("c2"),
+                                     *(F.col(a).alias(b) for a, b in zip(one, two, strict=True)))
+        pairs = (picked.join(others, "key").filter("component <> c2").filter(_may_link(one, two, "n", "n2", threshold))
                  .select(*_pair("node", "other")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         more = stored(_verified(pairs, sets, threshold), "jaccard-tested")
         tested = tested.unionByName(more)
@@ -314,7 +336,7 @@ def similar_documents(docs: DataFrame, *, threshold: int = 80, size: int = 5, fr
                       id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id that links lead to) of each row of ``docs``."""
     rows = indexed(docs, threshold=threshold, size=size, frequent=frequent, id=id, text=text)
-    sets = stored(rows.filter("keys is not null").select("node", "n", "tokens", "keys").dropDuplicates(["node"]), "jaccard-sets")
+    sets = stored(rows.filter("keys is not null").select("node", "n", "tokens", "keys", "sketch").dropDuplicates(["node"]), "jaccard-sets")
     comp = linked_nodes(sets, threshold)
     slim = (rows.select("id", "n", "node").join(comp, "node", "left")
             .select("id", "n", F.coalesce("component", "node").alias("component")))
