@@ -6,9 +6,9 @@ order into equal-count ranges ("buckets") taken from approximate quantiles
 of the leading order column, and compute per-bucket summaries over a small
 table (``#groups x #buckets`` rows).  Each row then needs only its own
 ``(group, bucket)`` partition plus the value carried in from earlier buckets.
-The big table is shuffled once, on ``(group, bucket)``; the join with the
-summaries is a merge join on the same keys, so the window reuses that
-partitioning and every bucket is its own share of the work, at any scale.
+That value is a row of its own at the head of the bucket: rows and heads are
+shuffled once, on ``(group, bucket)``, and one window reads both, so every
+bucket is its own share of the work, at any scale.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
        partial aggregation);
     3. over that small table, the value each key carries *into* a bucket;
     4. per ``(group, bucket)`` window: the latest value so far in the bucket,
-       else the carried value, else 0.
+       the carried value being its first, else 0.
     """
     group_cols = list(group_cols)
     order_cols = list(order_cols)
@@ -131,17 +131,14 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
         for i in range(len(keys))
     ])
 
-    upto = (Window.partitionBy(*part).orderBy(*order_cols)
-            .rowsBetween(Window.unboundedPreceding, 0))
-    # merge join on the window's own keys: the big side is shuffled once by
-    # (group, bucket) and the window reuses that partitioning at any scale
-    # (a broadcast of the series side would hand the window to whatever
-    # partitioning the tiny carry table has)
-    joined = join_groups(b, carry.hint("merge"), part)
+    # the carry row stands first in its bucket; it meets the rows in the
+    # window's own shuffle, so there is no join and a NULL group is like any other
+    both = _with_head(b, carry)
+    upto = Window.partitionBy(*part).orderBy(_HEAD, *order_cols).rowsBetween(Window.unboundedPreceding, 0)
     latest = [
         F.coalesce(
-            F.last(F.when(key == F.lit(k), F.col(value_col)), ignorenulls=True).over(upto),
-            F.col(f"_carry{i}"),
+            F.last(F.when(F.col(_HEAD) == 0, F.col(f"_carry{i}")).when(key == F.lit(k), F.col(value_col)),
+                   ignorenulls=True).over(upto),
             F.lit(0.0),
         )
         for i, k in enumerate(keys)
@@ -149,7 +146,17 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
     total = latest[0]
     for c in latest[1:]:
         total = total + c
-    return joined.withColumn(out, total).drop(BUCKET, *[f"_carry{i}" for i in range(len(keys))])
+    return both.withColumn(out, total).filter(F.col(_HEAD) == 1).select(*df.columns, out)
+
+
+_HEAD = "_head"
+
+
+def _with_head(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows (``_head`` 1) and, for each bucket, a head row (``_head`` 0); a
+    column that only one of them has is NULL on the other."""
+    return rows.withColumn(_HEAD, F.lit(1)).unionByName(
+        heads.withColumn(_HEAD, F.lit(0)), allowMissingColumns=True)
 
 
 def running_latest_sum_single(df: DataFrame, group_cols: Sequence[str], key_col: str,
@@ -195,19 +202,20 @@ def rank_and_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     )
     over_buckets = Window.partitionBy(*group_cols).orderBy(BUCKET)
     before = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
-    summary = per_bucket.select(
+    heads = per_bucket.select(
         *part,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        *([F.sum("_n").over(Window.partitionBy(*group_cols)).alias(total_col)] if total_col else []),
-        *[F.lag(f"_lastof_{c}").over(over_buckets).alias(f"_carry_{c}") for c in prev_cols],
+        *([F.sum("_n").over(Window.partitionBy(*group_cols)).alias("_total")] if total_col else []),
+        *[F.lag(f"_lastof_{c}").over(over_buckets).alias(c) for c in prev_cols],
     )
-    inside = Window.partitionBy(*part).orderBy(*order_cols)
-    joined = join_groups(b, summary.hint("merge"), part)  # see running_latest_sum
-    out = joined.withColumn(rank_col, F.col("_offset") + F.row_number().over(inside))
+    both = _with_head(b, heads)  # see running_latest_sum
+    inside = Window.partitionBy(*part).orderBy(_HEAD, *order_cols)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # the head row is row 1 of its bucket
+    out = both.withColumn(rank_col, F.last("_offset", ignorenulls=True).over(upto) + F.row_number().over(inside) - 1)
+    if total_col:
+        out = out.withColumn(total_col, F.last("_total", ignorenulls=True).over(upto))
     for c in prev_cols:
-        out = out.withColumn(
-            f"prev_{c}",
-            F.when(F.row_number().over(inside) == 1, F.col(f"_carry_{c}"))
-            .otherwise(F.lag(c).over(inside)),
-        )
-    return out.drop(BUCKET, "_offset", *[f"_carry_{c}" for c in prev_cols])
+        out = out.withColumn(f"prev_{c}", F.lag(c).over(inside))
+    return out.filter(F.col(_HEAD) == 1).select(
+        *df.columns, rank_col, *([total_col] if total_col else []), *[f"prev_{c}" for c in prev_cols])

@@ -108,13 +108,7 @@ def q_core_log_workers(spark, sf_dir):
 
 
 def q_metric_lines(spark, sf_dir):
-    cpu = fx.cpu_lines(spark, sf_dir, bursts=False).select(
-        "run", F.lit("cpu").alias("kind"), "line_id", "line")
-    cores = fx.core_lines(spark, sf_dir).select(
-        "run", F.lit("cores").alias("kind"), "line_id", "line")
-    lists = fx.core_list_lines(spark, sf_dir).select(
-        "run", F.lit("cores_per_worker").alias("kind"), "line_id", "line")
-    return cpu.unionByName(cores).unionByName(lists)
+    return fx.metric_lines(spark, sf_dir)
 
 
 def q_metric_line_files(spark, sf_dir):

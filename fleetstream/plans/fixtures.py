@@ -78,10 +78,29 @@ def core_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executor core count polled on the master: ``event_id % 41``; no count
     (application not running) when ``event_id % 13 = 0``."""
     s = samples(spark, sf_dir)
-    cores = F.when(F.col("event_id") % 13 == 0, F.lit(None)).otherwise(
-        (F.col("event_id") % 41).cast("int"))
     return s.select("run", F.lit("master").alias("host"), "line_id", "ts_ms",
-                    cores.alias("cores"))
+                    _core_count().alias("cores"))
+
+
+def _core_count() -> Column:
+    return F.when(F.col("event_id") % 13 == 0, F.lit(None)).otherwise((F.col("event_id") % 41).cast("int"))
+
+
+def _core_list() -> Column:
+    listed = F.transform(F.sequence(F.lit(0), F.lit(N_WORKERS - 1)),
+                         lambda i: ((F.col("event_id") + i) % 9).cast("int"))
+    return F.when(F.col("event_id") % 13 == 0, F.array().cast("array<int>")).otherwise(listed)
+
+
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three lines of each sample (CPU, core count, core list) from one scan."""
+    zero = F.lit(0.0)
+    lines = F.array(*[F.struct(F.lit(kind).alias("kind"), line.alias("line")) for kind, line in (
+        ("cpu", formats.cpu_line(_cpu_us(), _cpu_sy(), zero, zero, zero, zero, zero, zero, F.col("ts_ms"))),
+        ("cores", formats.core_line(_core_count(), F.col("ts_ms"))),
+        ("cores_per_worker", formats.core_list_line(_core_list(), F.col("ts_ms"))))])
+    return (samples(spark, sf_dir).select("run", "line_id", F.explode(lines).alias("l"))
+            .select("run", "l.kind", "line_id", "l.line"))
 
 
 def core_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +113,8 @@ def core_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Used cores of the five workers: ``(event_id + i) % 9`` for i = 0..4;
     the status page unreachable (empty list) when ``event_id % 13 = 0``."""
     s = samples(spark, sf_dir)
-    listed = F.transform(F.sequence(F.lit(0), F.lit(N_WORKERS - 1)),
-                         lambda i: ((F.col("event_id") + i) % 9).cast("int"))
-    cores = F.when(F.col("event_id") % 13 == 0, F.array().cast("array<int>")).otherwise(listed)
     return s.select("run", F.lit("master").alias("host"), "line_id", "ts_ms",
-                    cores.alias("cores"))
+                    _core_list().alias("cores"))
 
 
 def core_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

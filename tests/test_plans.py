@@ -44,3 +44,29 @@ def test_filters_and_columns_reach_the_scan(spark):
         "ReadSchema: struct<p_partkey:bigint,p_size:int,p_retailprice:double>" in p
     p = plan(catalog.QUERIES["page_counts"](spark, SF_SMALL))
     assert "ReadSchema: struct<page_id:bigint,html:string>" in p
+
+
+def exchanges(df) -> int:
+    tree = plan(df).split("\n\n")[0]
+    return len(re.findall(r"[+-] Exchange\b", tree)) + len(re.findall(r"^Exchange\b", tree, re.M))
+
+
+def test_one_batch_is_shuffled_at_most_twice(spark):
+    """X1 on the stream: one sort numbers the rows, one exchange deals them."""
+    from pyspark.sql import functions as F
+    from fleetstream.operators import slices
+    df = spark.range(268).select(F.timestamp_seconds("id").alias("m"), F.col("id").cast("string").alias("path")).persist()
+    df.count()
+    assert exchanges(slices.balanced_partitions(df, ["m", "path"], 268, 40)) <= 2
+
+
+def test_metric_lines_scan_once(spark):
+    p = plan(catalog.QUERIES["metric_lines"](spark, SF_SMALL))
+    assert len(re.findall(r"\(\d+\) Scan parquet", p)) == 1
+
+
+def test_ordered_scan_shuffles_the_rows_once(spark):
+    """Rows and heads on (run, bucket); the summaries on the same keys and on the run.  No join."""
+    df = catalog.QUERIES["cluster_cpu"](spark, SF_SMALL)
+    assert exchanges(df) <= 3 and "Join" not in plan(df)
+    assert "Join" not in plan(catalog.QUERIES["load_rate"](spark, SF_SMALL))
