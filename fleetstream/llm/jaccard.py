@@ -18,8 +18,8 @@ distinct shingles of ``size`` lower-cased words.
    c more: partners then share more than c frequent shingles, which fall into
    c classes by hash, so two shared ones meet in a class.  The index keys are
    the pairs of frequent shingles of one class.  c depends on the size level
-   (power of two); a document is indexed at the levels that its partners can
-   have.
+   (power of four); a document is indexed at the levels that its partners can
+   have, mostly its own.
 3. Verification.  Documents with the same set are one node.  For each key the
    smallest node is compared with the others, linked nodes are put together,
    and then, key by key, every node outside of the key's largest component is
@@ -180,8 +180,8 @@ def index_keys(tokens: np.ndarray, df: np.ndarray, n: int, t: int, frequent: int
     rare = int(np.searchsorted(df, frequent, "right"))
     keys = [mix(tokens[:min(prefix, rare)].astype(np.uint64))]
     if prefix > rare:
-        for level in range(int(need).bit_length() - 1, int(n * 100 // t).bit_length()):
-            c = max(1, (1 << level) // 8)
+        for level in range((int(need).bit_length() - 1) // 2, (int(n * 100 // t).bit_length() - 1) // 2 + 1):
+            c = max(1, 4 ** level // 4)
             x = tokens[rare:prefix + c].astype(np.uint64)
             m = mix(x + np.uint64(level))
             k = m % np.uint64(c)
