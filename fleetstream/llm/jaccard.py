@@ -309,18 +309,27 @@ def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> Dat
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
         open_keys = (sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"),
                                               F.sum("m").alias("m"), F.count("*").alias("k")).filter("k > 1"))
-        entries_open = stored(placed.join(open_keys.select("key", "main", "m"), "key").join(sketches, "node"), "jaccard-open")
+        # each entry with the two open keys before it among its node's
+        along = Window.partitionBy("node").orderBy("key")
+        entries_open = stored(placed.join(open_keys.select("key", "main", "m"), "key").join(sketches, "node")
+                              .withColumn("k1", F.lag("key", 1).over(along)).withColumn("k2", F.lag("key", 2).over(along)),
+                              "jaccard-open")
         todo = entries_open.filter("component <> main")
         if done is not None:
             todo = todo.join(done, ["key", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         picked = stored(todo.withColumn("r", rank).filter(F.col("r") <= F.greatest(F.lit(4), at_once / F.col("m")))
-                        .select("key", "node", "n", "component", *one), "jaccard-picked")
+                        .select("key", "node", "n", "component", "k1", "k2", *one), "jaccard-picked")
         if picked.isEmpty():
             return comp
         others = entries_open.select("key", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("component").alias("c2"),
-                                     *(F.col(a).alias(b) for a, b in zip(one, two, strict=True)))
-        pairs = (picked.join(others, "key").filter("component <> c2").filter(_may_link(one, two, "n", "n2", threshold))
+                                     F.col("k1").alias("q1"), F.col("k2").alias("q2"), *(F.col(a).alias(b) for a, b in zip(one, two, strict=True)))
+        # two nodes that share the key before, too, meet there: the first key they share is the one that counts
+        before = F.lit(False)
+        for x in ("k1", "k2"):
+            for y in ("q1", "q2"):
+                before = before | F.coalesce(F.col(x) == F.col(y), F.lit(False))
+        pairs = (picked.join(others, "key").filter("component <> c2").filter(~before & _may_link(one, two, "n", "n2", threshold))
                  .select(*_pair("node", "other")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         more = stored(_verified(pairs, sets, threshold), "jaccard-tested")
         tested = tested.unionByName(more)
