@@ -254,8 +254,9 @@ def indexed(docs: DataFrame, *, threshold: int, size: int, frequent: int, id: st
     kind = rows.schema["id"].dataType
     buckets = min(1 << 15, parts(text_bytes(rows), 16 << 20, spread(spark)))
     entries = rows.mapInArrow(_split(buckets, size), "bucket int, step long, kind int, body binary")
-    answers = entries.groupBy("bucket").applyInArrow(_frequencies, "step long, kind int, body binary")
-    return stored(answers.groupBy("step").applyInArrow(
+    # as many partitions as buckets: a task's share stays the same as the corpus grows
+    answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_frequencies, "step long, kind int, body binary")
+    return stored(answers.repartition(buckets, "step").groupBy("step").applyInArrow(
         _documents(threshold, frequent, to_arrow_type(kind)),
         f"id {kind.simpleString()}, n long, node binary, tokens array<long>, keys array<long>, "
         "sketch array<long>"), "jaccard-documents")

@@ -232,10 +232,15 @@ def dedup_substrings(docs: DataFrame, *, length: int = 20, id: str = "doc_id", t
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id).alias("id"), F.col(text).alias("text"))
     buckets = min(1 << 15, parts(text_bytes(rows), 16 << 20, spread(spark)))
     texts = rows.mapInArrow(_send_texts, _SCHEMA)
-    anchors = rows.mapInArrow(_send_anchors(length, buckets), _SCHEMA).groupBy("bucket").applyInArrow(_repeated_anchors, _SCHEMA)
-    suffixes = anchors.unionByName(texts).groupBy("step").applyInArrow(_suffixes(length, buckets), _SCHEMA)
-    copies = suffixes.groupBy("bucket").applyInArrow(_tree, _SCHEMA)
-    return (copies.unionByName(texts).groupBy("step")
+
+    def by(df: DataFrame, key: str):
+        # as many partitions as groups of suffixes: a task's share stays the same as the corpus grows
+        return df.repartition(buckets, key).groupBy(key)
+
+    anchors = by(rows.mapInArrow(_send_anchors(length, buckets), _SCHEMA), "bucket").applyInArrow(_repeated_anchors, _SCHEMA)
+    suffixes = by(anchors.unionByName(texts), "step").applyInArrow(_suffixes(length, buckets), _SCHEMA)
+    copies = by(suffixes, "bucket").applyInArrow(_tree, _SCHEMA)
+    return (by(copies.unionByName(texts), "step")
             .applyInArrow(_kept(length, to_arrow_type(kind)),
                           f"id {kind.simpleString()}, n_words long, n_removed long, kept_text string")
             .withColumnRenamed("id", id))
