@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .operators import messages, sinks, tasks
 from .sources import files
 from .plans import analysis
-from .session import spread
+from .session import release_materialized, spread
 from .streaming import newfiles
 
 
@@ -104,6 +104,7 @@ def main(argv: list[str] | None = None) -> None:
         q = newfiles.start(files_in, a.out, a.checkpoint, handler, available_now=a.once,
                            interval=a.interval, max_slices=a.max_slices)
         q.awaitTermination()
+    release_materialized(spark)
 
 
 if __name__ == "__main__":

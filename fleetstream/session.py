@@ -122,12 +122,25 @@ def to_local_path(uri: str) -> str:
     return uri
 
 
+_MATERIALIZED: dict[str, list[str]] = {}
+
+
 def materialize(df, name: str = "materialized"):
     """Cut lineage by writing ``df`` as a parquet table in the shared folder
     (``spark.checkpoint.dir``) and reading it back.  Unlike ``checkpoint()``
     (row blocks), later passes read only the columns they need, compressed;
-    the files survive the loss of any executor."""
+    the files survive the loss of any executor.  They stay until
+    ``release_materialized`` deletes them, since a result may still read them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _MATERIALIZED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def release_materialized(spark: SparkSession) -> None:
+    """Delete the tables that this application has materialized: call it when
+    results that read them have been written."""
+    for path in _MATERIALIZED.pop(spark.sparkContext.applicationId, []):
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)

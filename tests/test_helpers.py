@@ -36,3 +36,12 @@ def test_materialize_in_shared_folder(spark):
     assert df.count() == 5
     local_root = to_local_path(root)
     assert any(to_local_path(p).startswith(local_root) for p in df.inputFiles())
+
+
+def test_materialized_tables_are_released(spark):
+    import os
+    from fleetstream.session import release_materialized
+    path = to_local_path(materialize(spark.range(5), "t").inputFiles()[0])
+    assert os.path.exists(path)
+    release_materialized(spark)
+    assert not os.path.exists(path)
