@@ -39,11 +39,16 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
 _SHIPPED: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application:
-    executors need no copy of it on their own path."""
+    executors need no copy of it on their own path.  Where the session leaves
+    the size of Arrow batches at its default (64 MB), it is set to two steps:
+    both sides of the socket hold a batch or two."""
+    if spark.conf.get(_BATCH_BYTES).lower().rstrip("b") in ("67108864", "64m"):
+        spark.conf.set(_BATCH_BYTES, str(2 * STEP_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent.parent

@@ -43,6 +43,8 @@ FAMILIES = {
 }
 
 DIM_BITS = 12
+#: Text bytes at a time: a dozen arrays of four or eight bytes for each.
+STEP = 1 << 20
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -126,7 +128,7 @@ class Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, relative frequencies as float32 bytes)."""
     for b in batches:
-        for i, j, buf, off in text_steps(b.column(1)):
+        for i, j, buf, off in text_steps(b.column(1), STEP):
             code = gram_codes(buf)
             vec = [(np.bincount(code[a:z], minlength=1 << DIM_BITS) / max(1, z - a)).astype(np.float32).tobytes()
                    for a, z in zip(off[:-1], off[1:], strict=True)]
@@ -201,7 +203,7 @@ def _predicted(docs: DataFrame, model: Model, text: str) -> DataFrame:
         columns = [np.ascontiguousarray(m.weights[:, c]) for c in range(m.weights.shape[1])]
         for b in batches:
             letter = b.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, buf, off in text_steps(b.column(names.index(text))):
+            for i, j, buf, off in text_steps(b.column(names.index(text)), STEP):
                 code = gram_codes(buf)
                 n = np.maximum(1, np.diff(off))
                 margins = np.zeros((j - i, len(columns)))
