@@ -72,6 +72,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_STORED: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that operators have stored in this application: call
+    it when the results that read them have been written."""
+    for path in _STORED.pop(spark.sparkContext.applicationId, []):
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -80,6 +91,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     there, and no lost executor makes earlier steps run again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # the write's shuffle files go when it is done
     try:
