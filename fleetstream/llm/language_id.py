@@ -68,12 +68,13 @@ def gram_codes(buf: np.ndarray) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, *, cost: float = 10.0, steps: int = 200) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, by accelerated gradient descent;
-    classes weigh the same.  Returns (weights, bias)."""
-    n, d = x.shape
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    classes weigh the same, and rows whose y is 0 not at all.  Returns
+    (weights, bias)."""
+    d = x.shape[1]
+    weight = np.select([y > 0, y < 0], [0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())]).astype(np.float32)
     w = np.zeros(d + 1, np.float32)
     v = w.copy()
-    lip = 1.0 + 2 * cost * float((weight * ((x * x).sum(1) + 1)).sum())
+    lip = 1.0 + 2 * cost * float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum())
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v[:d] + v[d]))
         g = -2 * cost * weight * y * slack
@@ -158,12 +159,17 @@ def fit(docs: DataFrame, *, sample: int = 4000, families: dict[str, list[str]] |
     rows = (usable.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
             .join(F.broadcast(picked), "id")  # ``sample`` ids at most
             .select("lang", "text").limit(2 * sample)  # repeated ids
-            .mapInArrow(_features, "lang string, vec binary").toPandas())
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows["vec"]])
-    label = rows["lang"].to_numpy()
-    scale = (1 / (x.std(0) + 1e-4)).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
+            .mapInArrow(_features, "lang string, vec binary").toArrow())
+    label = np.array(rows.column("lang").to_pylist(), object)
+    # vectors of one length: the column's bytes are the matrix; the rest works in place
+    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[:len(c) << DIM_BITS].reshape(-1, 1 << DIM_BITS)
+                        for c in rows.column("vec").chunks])
+    del rows
     mean = x.mean(0)
-    x = (x - mean) * scale
+    spread = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x) / len(x) - mean * mean))
+    scale = (1 / (spread + 1e-4)).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
+    x -= mean
+    x *= scale
     known = sorted({*label})
     names = sorted({family_of.get(v, v) for v in known})
     groups = [(f, [v for v in known if family_of.get(v, v) == f]) for f in names]
@@ -173,8 +179,7 @@ def fit(docs: DataFrame, *, sample: int = 4000, families: dict[str, list[str]] |
             machines.append(train_svm(x, np.where([family_of.get(v, v) == f for v in label], 1, -1).astype(np.float32)))
     for k, (_, langs) in enumerate(groups):
         for a, b in combinations(range(len(langs)), 2):
-            both = np.isin(label, [langs[a], langs[b]])
-            machines.append(train_svm(x[both], np.where(label[both] == langs[a], 1, -1).astype(np.float32)))
+            machines.append(train_svm(x, np.select([label == langs[a], label == langs[b]], [1, -1]).astype(np.float32)))
             pairs.append((k, a, b))
     w = np.stack([m[0] * scale for m in machines], 1) if machines else np.zeros((len(scale), 0), np.float32)
     return Model(groups, pairs, np.ascontiguousarray(w, np.float32), np.array([m[1] for m in machines]) - mean @ w)
