@@ -252,7 +252,7 @@ def indexed(docs: DataFrame, *, threshold: int, size: int, frequent: int, id: st
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     from pyspark.sql.pandas.types import to_arrow_type
     kind = rows.schema["id"].dataType
-    buckets = min(1 << 15, parts(text_bytes(rows), 16 << 20, spread(spark)))
+    buckets = min(1 << 15, parts(text_bytes(rows), 8 << 20, spread(spark)))
     entries = rows.mapInArrow(_split(buckets, size), "bucket int, step long, kind int, body binary")
     # as many partitions as buckets: a task's share stays the same as the corpus grows
     answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_frequencies, "step long, kind int, body binary")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ddl, ranked, ship, stored, text_steps
-from .tokens import codec, vocabulary
+from .tokens import STEP, codec, vocabulary
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, *, capacity: int = 2048, end_id: int = 0,
@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, *, capacity: int = 20
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            for i, j, buf, off in text_steps(b.column(1)):
+            for i, j, buf, off in text_steps(b.column(1), STEP):
                 ids, at = c.encode(buf, off)
                 n = np.diff(at)
                 k = n // capacity + 1  # n + 1 ids with the end id

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, SPACE, Words, parts, ship, spread, stored, text_bytes, text_steps
-from .tokens import codec, vocabulary
+from .tokens import STEP, codec, vocabulary
 
 
 def _whole(path: str):
@@ -37,7 +37,7 @@ def _whole(path: str):
             if not b.num_rows:
                 continue
             n, size = [], []
-            for _, _, buf, off in text_steps(col):
+            for _, _, buf, off in text_steps(col, STEP):
                 n.append(c.counts(buf, off))
                 size.append(np.diff(off))
             yield pa.RecordBatch.from_arrays(

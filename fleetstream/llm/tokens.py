@@ -20,7 +20,9 @@ from .common import NOT_SPACE, Words, env_once, word_hashes
 
 #: Words kept at most; the tables are emptied when they get there.
 CACHE_WORDS = 3_000_000
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+#: Text bytes that are encoded at a time.
+STEP = 2 << 20
 
 _MARKS = ".,!?;:*#$%&"
 _LATIN = re.compile("[A-Za-z\u00aa-\u00ff]+")
