@@ -288,7 +288,7 @@ def _may_link(x: list[str], y: list[str], nx: str, ny: str, threshold: int):
     return (100 + threshold) * apart <= (100 - threshold) * (F.col(nx) + F.col(ny))
 
 
-def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 16) -> DataFrame:
+def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 21) -> DataFrame:
     """(node, component) of the nodes with links."""
     from .components import components, merged
 
