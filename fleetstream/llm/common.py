@@ -8,6 +8,7 @@ answer.  Operators that return one row per document return it once.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -278,10 +279,26 @@ def window_starts(w: Words, n: int) -> np.ndarray:
     return w.row[:m] == w.row[n - 1:] if m > 0 else np.zeros(0, bool)
 
 
+_LEAN = [False]
+
+
+def lean() -> None:
+    """Once in each Python worker: large arrays go back to the system when
+    they are freed (glibc keeps ever larger ones otherwise), Arrow's buffers, too."""
+    if not _LEAN[0]:
+        _LEAN[0] = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def text_steps(col: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about ``step`` bytes:
     (first row, row after the last, bytes, offsets of the rows in them).
     A null has no bytes."""
+    lean()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = col.cast(pa.large_string()).fill_null("")

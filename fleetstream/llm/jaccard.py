@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (NOT_SPACE, Words, mix, parts, ship, small_or_shuffled, spread, stored, text_bytes, text_steps, window_hashes,
+from .common import (NOT_SPACE, Words, lean, mix, parts, ship, small_or_shuffled, spread, stored, text_bytes, text_steps, window_hashes,
                      window_starts, word_hashes)
 
 #: Bits of a shingle's hash behind those that choose its bucket; sent as 6 bytes.
@@ -137,6 +137,7 @@ def _split(buckets: int, size: int):
 def _frequencies(t: pa.Table) -> pa.Table:
     """One bucket: frequencies of the shingles that more than one row has, to
     their steps (kind 4: shingles, rows, frequencies); the rest passes."""
+    lean()
     kind = t.column("kind").to_numpy()
     out = t.filter(pa.array(kind != 1)).select(["step", "kind", "body"])
     mine = np.flatnonzero(kind == 1)

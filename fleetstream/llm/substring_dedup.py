@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (NOT_SPACE, Words, parts, ship, spread, text_bytes, text_steps, window_hashes, window_starts,
+from .common import (NOT_SPACE, Words, lean, parts, ship, spread, text_bytes, text_steps, window_hashes, window_starts,
                      word_hashes)
 
 _SCHEMA = "bucket int, step long, kind int, body binary"
@@ -130,6 +130,7 @@ def _by_kind(t: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
 
 def _repeated_anchors(t: pa.Table) -> pa.Table:
     """One bucket of anchors: to each step those that another step has too."""
+    lean()
     got = [(s, np.frombuffer(b, np.uint64)) for s, b in _by_kind(t).get(ANCHORS, [])]
     h = np.concatenate([x for _, x in got])
     u, n = np.unique(h, return_counts=True)
@@ -173,6 +174,7 @@ def _suffixes(length: int, buckets: int):
 
 def _tree(t: pa.Table) -> pa.Table:
     """One group: the later suffixes of its deep nodes, to their steps."""
+    lean()
     got = _by_kind(t)
     rows = [(0, s, COPIES, b) for s, b in got.get(COPIES, [])]
     parts_ = got.get(SUFFIXES, [])

@@ -19,7 +19,7 @@ import numpy as np
 from .common import NOT_SPACE, Words, env_once, word_hashes
 
 #: Words kept at most; the tables are emptied when they get there.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_500_000
 CACHE_PIECES = 200_000
 #: Text bytes that are encoded at a time.
 STEP = 2 << 20
