@@ -1,8 +1,11 @@
 """Secret scans: broad candidates, then a random forest removes false positives.
 
-Candidates are long runs of key characters that hold a digit or are all
-capitals, and shorter values behind an assignment whose left side names a
-credential.  Most are harmless: identifiers, capitalised words, numbers.  The
+Candidates are long runs of key characters that hold a digit, are all
+capitals or hold the shape of an issued key, and every value behind an
+assignment whose left side names a credential: of any length and characters,
+behind blanks too, up to its closing quote on the line, or without one up to a
+blank, a quote or the text's end.  A run that is only the front of such a value
+is no candidate besides it.  Most are harmless: identifiers, capitalised words, numbers.  The
 forest looks at the candidate's length and character classes, how usual its
 character transitions are in this corpus, how much of it dictionary words
 cover (words frequent in this corpus), the path it comes from (the source
@@ -12,12 +15,15 @@ Transitions and the dictionary are counted over all documents: a table of 64
 character classes squared, and 2^20 counters of hashed words; both have a
 fixed size.  The forest learns from labelled findings: rows (id, start,
 is_secret) where the caller has them, otherwise findings that the review rules
-below label; of either it takes at most ``sample``, the bound of training.
+below label (issued shapes and named values with a digit are secrets, runs
+without a name are none; named values without a digit, or of fewer than
+``SHORT`` bytes, stay unlabelled and only the forest decides); of either it takes at most ``sample``, the bound of training.
 
 Defined cases: a null or empty text has no findings; a null source is the
 empty path; a null id is kept; rows that repeat an id and text give the same
 findings each; extra columns are ignored; without findings of both labels
-nothing can be learned, and the review rules decide.
+nothing can be learned, and the review rules decide (an unlabelled finding
+gets 0.5 and is returned).
 """
 
 from __future__ import annotations
@@ -47,6 +53,10 @@ _CLASS[0x30:0x3A], _CLASS[0x41:0x5B], _CLASS[0x61:0x7B] = np.arange(10), np.aran
 
 #: Names that stand before an assigned credential.
 CREDENTIAL = re.compile(r"(?i)(pass(word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*(=|:|=>)\s*[\"']?$")
+#: The value behind such a name and its first mark of assignment.
+VALUE = re.compile(rb"[=:>]*\s*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|[\"']?([^\s\"']+))")
+#: Named values of fewer bytes are not labelled.
+SHORT = 6
 #: Public shapes of issued keys (cloud access key ids, source hosts, chat, payment, maps).
 ISSUED = re.compile(r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}")
 #: Names that stand before identifiers which are no secrets.
@@ -97,7 +107,7 @@ def corpus_statistics(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarra
     return np.log(moves / moves.sum(1, keepdims=True)), words > max(2, FREQUENT * words.sum())
 
 
-def _entry(body: bytes, before: str, behind: str, path: str, moves: np.ndarray, known: np.ndarray) -> list[float]:
+def _entry(body: bytes, before: str, behind: str, named: bool, path: str, moves: np.ndarray, known: np.ndarray) -> list[float]:
     b = np.frombuffer(body, np.uint8)
     n = len(b)
     c = _CLASS[b]
@@ -110,12 +120,24 @@ def _entry(body: bytes, before: str, behind: str, path: str, moves: np.ndarray,
     return [n, digit.mean(), upper.mean(), lower.mean(), 1 - (digit | upper | lower).mean(), len(set(body)) / n,
             float(bool(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", body))), (kind[1:] != kind[:-1]).mean() if n > 1 else 0.0,
             float(moves[c[:-1], c[1:]].mean()) if n > 1 else 0.0, float(size[in_dict].sum() / n),
-            float(assigned), float(bool(CREDENTIAL.search(before))), float(bool(HARMLESS.search(before))),
+            float(assigned), float(named), float(bool(HARMLESS.search(before))),
             float(before[-1:] in "\"'" and behind[:1] in "\"'" and bool(before) and bool(behind)),
             float(before[-1:].isspace()), float(behind[:1].isspace() or not behind),
             float(bool(re.search(r"(?i)test|example|sample|mock|fixture", path))), float(path.count("/"))]
 
 
+def _named_values(raw: bytes, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) of each value behind an assignment to a credential's name."""
+    marks = np.flatnonzero((buf == 0x3D) | (buf == 0x3A))
+    rows = np.searchsorted(off, marks, "right") - 1
+    for p, r in zip(marks.tolist(), rows.tolist(), strict=True):
+        lo, hi = int(off[r]), int(off[r + 1])
+        if CREDENTIAL.search(raw[max(lo, p - 48):p + 1].decode(errors="ignore")):
+            m = VALUE.match(raw, p + 1, hi)
+            if m:
+                yield (r, *m.span(m.lastindex))
+
+
 def _candidates(stats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moves, known = stats.value
@@ -126,26 +148,31 @@ def _candidates(stats):
                 sums = lambda m: np.r_[0, np.cumsum(m)]
                 digits, uppers = sums((buf >= 0x30) & (buf <= 0x39)), sums((buf >= 0x41) & (buf <= 0x5A))
                 d, u = digits[w.end] - digits[w.start], uppers[w.end] - uppers[w.start]
-                prior = np.where(w.start > 0, buf[np.maximum(w.start, 1) - 1] if len(buf) else 0, 0)
-                valued = (size >= 6) & np.isin(prior, [0x22, 0x27, 0x3A, 0x3D])
-                pick = np.flatnonzero((size >= 16) & ((d > 0) | (u + d == size)) | valued)
+                sure = (d > 0) | (u + d == size)
+                raw = buf.tobytes()
+                spans = {(a, z): (r, True) for r, a, z in _named_values(raw, buf, off)}
+                fronts = {a for a, _ in spans}
+                for k in np.flatnonzero(size >= 15).tolist():
+                    s, e = int(w.start[k]), int(w.end[k])
+                    if s not in fronts and (size[k] >= 16 and sure[k] or ISSUED.search(raw[s:e].decode())):
+                        spans[s, e] = (int(w.row[k]), False)
                 rows, at, found, marks, label, vec = [], [], [], [], [], []
-                for k in pick.tolist():
-                    s, e, r = int(w.start[k]), int(w.end[k]), int(w.row[k])
+                for (s, e), (r, named) in sorted(spans.items()):
                     lo, hi = max(int(off[r]), s - 48), min(int(off[r + 1]), e + 48)
-                    before, behind = (buf[x:y].tobytes().decode(errors="ignore") for x, y in ((lo, s), (e, hi)))
-                    named = bool(CREDENTIAL.search(before))
-                    if size[k] < 16 and not named:
-                        continue
-                    body = buf[s:e].tobytes()
+                    before, behind = (raw[x:y].decode(errors="ignore") for x, y in ((lo, s), (e, hi)))
+                    body = raw[s:e]
                     path = b.column(1)[i + r].as_py() or ""
                     rows.append(r)
                     at.append(s - int(off[r]))
                     found.append(e - s)
                     marks.append(hashlib.sha256(body).hexdigest())
-                    secret = bool(ISSUED.fullmatch(body.decode())) or named and d[k] > 0
-                    label.append(secret)
-                    vec.append(_entry(body, before, behind, path, moves, known))
+                    if ISSUED.search(body.decode()):
+                        label.append(True)
+                    elif named:
+                        label.append(True if e - s >= SHORT and digits[e] > digits[s] else None)
+                    else:
+                        label.append(False)
+                    vec.append(_entry(body, before, behind, named, path, moves, known))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i).take(pa.array(rows, pa.int64())), pa.array(at, pa.int64()), pa.array(found, pa.int64()),
                      pa.array(marks, pa.string()), pa.array(label, pa.bool_()), pa.array(vec, pa.list_(pa.float64()))],
@@ -178,7 +205,7 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, *, sample: in
     halves = [labelled.filter(F.col("label") == x).orderBy(F.xxhash64("sha256", "id", "start")).limit(half) for x in (0.0, 1.0)]
     train = stored(halves[0].unionByName(halves[1]).select("label", array_to_vector("features").alias("vector")), "secret-training")
     if train.select("label").distinct().count() < 2:
-        scored = found.withColumn("score", F.col("reviewed").cast("double"))
+        scored = found.withColumn("score", F.coalesce(F.col("reviewed").cast("double"), F.lit(0.5)))
     else:
         forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=7).fit(train)
         scored = (forest.transform(found.withColumn("vector", array_to_vector("features")))
