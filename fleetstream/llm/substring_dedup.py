@@ -2,12 +2,15 @@
 for the run's first occurrence, by prefix-partitioned suffix trees.
 
 A suffix is a word position with at least ``length`` words of its document
-behind it; below depth ``length`` its path doesn't matter.  Its first half is
-the prefix that picks its group: groups are ranges of the prefix's hash, as
-many as it takes for each to fit into a task's memory.  A group builds its
-part of the tree by sorting its suffixes on their path, (prefix, rest).  A
-node that reaches depth ``length`` and has two suffixes or more is a repeat;
-all of its suffixes but the first, by (id, position), are later copies.
+behind it; below depth ``length`` its path doesn't matter.  Its path, (prefix,
+rest) by halves, picks its group: groups are ranges of the path's hash, as many
+as the corpus's size asks for.  So every prefix is carried to the depth where
+it can't be split further, and no prefix, however frequent, is a group of its
+own; prefixes of several lengths, chosen by counting followers, are not built,
+nor are the inner nodes above depth ``length``, which no result needs.  A group
+sorts its suffixes on their path.  A node that reaches depth ``length`` and has
+two suffixes or more is a repeat; all of its suffixes but the first, by (id,
+position), are later copies.
 
 Which suffixes get there.  Most positions repeat nothing, so suffixes are
 pruned first.  Every window of ``length`` words owns one anchor: the smallest
@@ -19,7 +22,8 @@ windows with a repeated anchor become suffixes.
 Skew.  Work goes by steps of some megabytes of text.  Within a step equal
 anchors, and equal suffixes, are combined before they are sent: the later ones
 are known to be copies.  So a passage that a third of all documents hold is
-one entry a step, and a prefix with many followers is spread by its path.
+one entry a step, which bounds what one path brings to a group, and a prefix
+with many followers is spread by its path.
 
 The texts are read again where a step's answers arrive.  A step is known by its
 partition and number; its checksum is sent along and compared, so an input
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (NOT_SPACE, Words, lean, parts, ship, spread, text_bytes, text_steps, window_hashes, window_starts,
+from .common import (NOT_SPACE, Words, lean, mix, parts, ship, spread, text_bytes, text_steps, window_hashes, window_starts,
                      word_hashes)
 
 _SCHEMA = "bucket int, step long, kind int, body binary"
@@ -80,6 +84,11 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def _groups(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Group of each suffix, by its whole path."""
+    return _bucket(mix(s["prefix"] + mix(s["rest"].astype(np.uint64))), buckets)
+
+
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
@@ -143,7 +152,7 @@ _SUFFIX = np.dtype([("prefix", "<u8"), ("rest", "<u4"), ("id", "<i8"), ("at", "<
 
 
 def _suffixes(length: int, buckets: int):
-    """One step: its suffixes for the groups of their prefixes."""
+    """One step: its suffixes for the groups of their paths."""
     half = length // 2
 
     def run(t: pa.Table) -> pa.Table:
@@ -166,7 +175,10 @@ def _suffixes(length: int, buckets: int):
         first = np.r_[True, (s["prefix"][1:] != s["prefix"][:-1]) | (s["rest"][1:] != s["rest"][:-1])][:len(s)]
         rows = [(step % buckets, step, COPIES, np.int64(check).tobytes() + s["at"][~first].tobytes())]
         s = s[first]
-        cut = np.searchsorted(_bucket(s["prefix"], buckets), np.arange(buckets + 1))
+        group = _groups(s, buckets)
+        order = np.argsort(group, kind="stable")
+        s = s[order]
+        cut = np.searchsorted(group[order], np.arange(buckets + 1))
         rows += [(k, step, SUFFIXES, s[cut[k]:cut[k + 1]].tobytes()) for k in range(buckets) if cut[k] < cut[k + 1]]
         return _table(rows)
     return run
@@ -232,7 +244,7 @@ def dedup_substrings(docs: DataFrame, *, length: int = 20, id: str = "doc_id", t
     ship(spark)
     kind = docs.schema[id].dataType
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id).alias("id"), F.col(text).alias("text"))
-    buckets = min(1 << 15, parts(text_bytes(rows), 16 << 20, spread(spark)))
+    buckets = parts(text_bytes(rows), 16 << 20, spread(spark))
     texts = rows.mapInArrow(_send_texts, _SCHEMA)
 
     def by(df: DataFrame, key: str):
