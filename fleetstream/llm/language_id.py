@@ -45,22 +45,30 @@ FAMILIES = {
 DIM_BITS = 12
 #: Text bytes at a time: a dozen arrays of four or eight bytes for each.
 STEP = 1 << 20
+#: Weights are summed as integers in units of 2^-UNIT_BITS: a sum has the same value wherever its text stands.
+UNIT_BITS = 26
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 
-def gram_codes(buf: np.ndarray) -> np.ndarray:
-    """Feature number of the 4-gram that starts at each byte (the last three wrap into blanks)."""
+def gram_codes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Feature number of the 4-gram that starts at each byte; behind the end of
+    its row (offsets ``off``) there are blanks."""
     b = _FOLD[buf]
     upper = np.zeros(len(buf), bool)  # capital Latin-1 letters are C3 80..9E
     upper[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)
     b[upper] += 0x20
-    x = np.full(len(b) + 3, 0x20, np.uint32)
-    x[:len(b)] = b
     n = len(b)
-    code = x[:n] | x[1:n + 1] << np.uint32(8) | x[2:n + 2] << np.uint32(16) | x[3:n + 3] << np.uint32(24)
+    code = b.astype(np.uint32)
+    for j in range(1, 4):
+        x = np.full(n, 0x20, np.uint32)
+        x[:max(0, n - j)] = b[j:]
+        for k in range(1, j + 1):
+            beyond = off[1:] - k
+            x[beyond[beyond >= 0]] = 0x20
+        code |= x << np.uint32(8 * j)
     code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     code = (code ^ (code >> np.uint32(12))) * np.uint32(0x297A2D39)
     return code >> np.uint32(32 - DIM_BITS)
@@ -127,13 +135,14 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, relative frequencies as float32 bytes)."""
+    """(lang, h, text) -> (lang, h, relative frequencies as float32 bytes)."""
     for b in batches:
-        for i, j, buf, off in text_steps(b.column(1), STEP):
-            code = gram_codes(buf)
+        for i, j, buf, off in text_steps(b.column(2), STEP):
+            code = gram_codes(buf, off)
             vec = [(np.bincount(code[a:z], minlength=1 << DIM_BITS) / max(1, z - a)).astype(np.float32).tobytes()
                    for a, z in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(vec, pa.binary())], names=["lang", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(vec, pa.binary())],
+                                              names=["lang", "h", "vec"])
 
 
 _LETTER = r"\p{L}"
@@ -158,13 +167,17 @@ def fit(docs: DataFrame, *, sample: int = 4000, families: dict[str, list[str]] |
               .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).select("id").distinct())
     rows = (usable.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
             .join(F.broadcast(picked), "id")  # ``sample`` ids at most
-            .select("lang", "text").limit(2 * sample)  # repeated ids
-            .mapInArrow(_features, "lang string, vec binary").toArrow())
+            .select("lang", F.xxhash64("id", "text").alias("h"), "text").limit(2 * sample)  # repeated ids
+            .mapInArrow(_features, "lang string, h long, vec binary").toArrow())
+    # one order, however the rows were partitioned: the machines' last digits depend on it
     label = np.array(rows.column("lang").to_pylist(), object)
+    order = np.lexsort((label.astype(str), rows.column("h").to_numpy()))
+    label = label[order]
     # vectors of one length: the column's bytes are the matrix; the rest works in place
     x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[:len(c) << DIM_BITS].reshape(-1, 1 << DIM_BITS)
                         for c in rows.column("vec").chunks])
     del rows
+    x = x[order]
     mean = x.mean(0)
     spread = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x) / len(x) - mean * mean))
     scale = (1 / (spread + 1e-4)).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
@@ -205,16 +218,16 @@ def _predicted(docs: DataFrame, model: Model, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        columns = [np.ascontiguousarray(m.weights[:, c]) for c in range(m.weights.shape[1])]
+        columns = [np.rint(np.ldexp(m.weights[:, c].astype(np.float64), UNIT_BITS)).astype(np.int64) for c in range(m.weights.shape[1])]
         for b in batches:
             letter = b.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
             for i, j, buf, off in text_steps(b.column(names.index(text)), STEP):
-                code = gram_codes(buf)
+                code = gram_codes(buf, off)
                 n = np.maximum(1, np.diff(off))
                 margins = np.zeros((j - i, len(columns)))
                 for c, w in enumerate(columns):
-                    total = np.r_[0, np.cumsum(w[code], dtype=np.float64)]
-                    margins[:, c] = (total[off[1:]] - total[off[:-1]]) / n + m.bias[c]
+                    total = np.r_[0, np.cumsum(w[code])]
+                    margins[:, c] = np.ldexp((total[off[1:]] - total[off[:-1]]).astype(np.float64), -UNIT_BITS) / n + m.bias[c]
                 lang, score = m.predict(margins)
                 lang[~letter[i:j]], score[~letter[i:j]] = "und", 0.0
                 yield pa.RecordBatch.from_arrays(
