@@ -3,7 +3,8 @@ benchmark decontamination, packing.
 
 A stage takes (spark, docs, sf_dir), where ``docs`` has the columns of
 ``documents``, works on all of it and returns what it keeps, with the same
-columns; the last returns the packed pieces.  Clean documents pass unchanged.
+columns; the last returns the packed pieces.  Clean documents pass unchanged,
+but for a null lang, which becomes the predicted language.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from fleetstream.llm.common import stored, table
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language (no text, or no letter in it) go; where lang
+    is null, the predicted language is written.  Where no row can be learned from,
+    every text with a letter stays.  No margin rejects a text with a letter: text
+    of no learned language, and junk of letters, pass."""
     return language_id.identified(docs, language_id.fit(docs))
 
 

@@ -204,10 +204,15 @@ def identify(docs: DataFrame, model: Model, *, id: str = "doc_id", text: str = "
         id, held_out(id).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def identified(docs: DataFrame, model: Model, *, min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language with a score of ``min_score`` or more."""
+def identified(docs: DataFrame, model: Model, *, min_score: float = 0.0, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language with a score of
+    ``min_score`` or more; a null ``lang`` becomes the predicted language.  When
+    the model has learned nothing, every text with a letter stays as it is."""
+    if not model.families:
+        return docs.filter(F.col(text).rlike(_LETTER))
     out = _predicted(docs, model, text).filter((F.col("__lang") != "und") & (F.col("__score") >= min_score))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*(F.coalesce(F.col(f"`{c}`"), F.col("__lang")).alias(c) if c == lang else F.col(f"`{c}`")
+                        for c in docs.columns))
 
 
 def _predicted(docs: DataFrame, model: Model, text: str) -> DataFrame:
