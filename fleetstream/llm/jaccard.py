@@ -358,8 +358,13 @@ def similar_documents(docs: DataFrame, *, threshold: int = 80, size: int = 5, fr
 
 
 def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs``, all columns, without those whose component has a smaller id;
-    of rows that repeat an id and a text one stays."""
-    found = similar_documents(docs, id=id, text=text, **options)
-    gone = stored(found.filter("component_id < " + f"`{id}`").select(F.col(id).alias("__id")).distinct(), "near-copies")
-    return docs.join(small_or_shuffled(gone), F.col(id).eqNullSafe(F.col("__id")), "left_anti").dropDuplicates([id, text])
+    """Rows of ``docs``, all columns, less those whose component has a smaller
+    address (id, text hash), null ids last; of rows that repeat an id and a text
+    one stays."""
+    key = F.unhex(F.md5(F.col(text)))
+    address = F.struct(F.when(F.col(id).isNull(), F.lit(True)).alias("no_id"), F.col(id).alias("id"), key.alias("key"))  # nulls come first
+    found = similar_documents(docs.select(address.alias("__address"), F.col(text).alias("text")), id="__address", text="text", **options)
+    gone = stored(found.filter("component_id < __address").select(F.col("__address.id").alias("__id"), F.col("__address.key").alias("__key"))
+                  .distinct(), "near-copies")
+    return docs.join(small_or_shuffled(gone), F.col(id).eqNullSafe(F.col("__id")) & (key == F.col("__key")),
+                     "left_anti").dropDuplicates([id, text])
