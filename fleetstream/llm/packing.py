@@ -1,9 +1,9 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity.
 
 Bulk-synchronous best fit, largest pieces first.  A round takes the largest
-size that is left, all its pieces at once.  Pieces and gaps are range-sorted:
-the pieces of one size by (id, piece), the open sequences by gap.  A successor
-sweep over the sorted gaps finds the smallest gap that holds the size; the
+size that is left, all its pieces at once.  Pieces are range-sorted in Spark
+by (size, id, piece); the open sequences are a sorted list of gaps in the driver.
+A sweep over that list finds the smallest gap that holds the size; the
 piece of rank r goes to the r-th place of the sweep, so no two pieces claim
 one place; the gaps shrink, what finds no gap opens new sequences, and the
 next size follows.  The result is the one of sequential best-fit decreasing.
@@ -11,7 +11,10 @@ next size follows.  The result is the one of sequential best-fit decreasing.
 Pieces of one size, and sequences of one gap, are interchangeable, so a round
 works on runs: (gap, first sequence, number of sequences).  There are at most
 ``capacity`` sizes and gaps, whatever the corpus holds, and the runs are what
-the driver keeps.  The rows stay in Spark: they are encoded once, range-sorted
+the driver keeps: all rounds run there, on a histogram of sizes, and distributed
+sweeps (range-sorted gaps, successor joins, conflicts by rank) are not built, as
+a round has at most ``capacity`` runs to match.  Histogram and plan grow with
+``capacity``, not with the rows.  The rows stay in Spark: they are encoded once, range-sorted
 into their ranks (``ranked``; a frequent size is spread over many partitions)
 and look up their place by (size, rank).
 
