@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language_id, line_dedup, packing, quality, secret_scan, sharding, substring_dedup, token_counts
+from . import (decontamination, jaccard, language_id, line_dedup, packing, periodic_runs, quality, secret_scan, sharding,
+               substring_dedup, token_counts)
 from .common import table
 
 
@@ -53,6 +54,17 @@ def op10_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic_runs.periodic_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents")), least=6, times=4)
+    best = periodic_runs.most_repeated(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (runs.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_line_dedup, op3_winnowing_decontamination,
                                    op4_ngram_jaccard_join, op5_hierarchical_language_id, op6_lpt_sharding, op7_suffix_tree_substring_dedup, op8_token_counts, op9_random_forest_secret_scan,
-                                   op10_weak_supervision_quality)}
+                                   op10_weak_supervision_quality, op11_periodic_run_detection)}
