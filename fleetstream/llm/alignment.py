@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _powers, env_once, mix, ship, stored, text_steps
+from .steps import packed, unpacked
 from .tokens import _byte_symbols
 
 #: Windows whose alignment a worker keeps; the table is emptied when it gets there.
@@ -220,13 +221,6 @@ def aligner(bytes_path: str, pieces_path: str) -> Aligner:
 _STEP = "step long, pairs array<long>, n_docs array<int>, body binary"
 
 
-def _packed(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
 def _align(bytes_path: str, pieces_path: str, keep_groups: bool):
     """(part, id, text) -> one row for each step."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +246,7 @@ def _align(bytes_path: str, pieces_path: str, keep_groups: bool):
                 docs = np.bincount(pair, minlength=len(pairs)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(b.column(0)[i].as_py() << 31) + k], pa.int64()), pa.array([pairs], pa.list_(pa.int64())),
-                     pa.array([docs], pa.list_(pa.int32())), pa.array([_packed(pa.table(cols))], pa.binary())],
+                     pa.array([docs], pa.list_(pa.int32())), pa.array([packed(pa.table(cols))], pa.binary())],
                     names=["step", "pairs", "n_docs", "body"])
                 k += 1
     return run
@@ -268,7 +262,7 @@ def _counted(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for body, count, best in zip(*b.columns, strict=True):
-                t = pa.ipc.open_stream(body.as_py()).read_all().combine_chunks()
+                t = unpacked(body.as_py())
                 lists = t.column("pair").combine_chunks()
                 at = lists.offsets.to_numpy()
                 pair = lists.values.to_numpy()

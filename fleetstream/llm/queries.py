@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (alignment, decontamination, jaccard, language_id, line_dedup, packing, periodic_runs, quality, secret_scan,
+from . import (alignment, decontamination, jaccard, katz, language_id, line_dedup, packing, periodic_runs, quality, secret_scan,
                sharding, substring_dedup, token_counts)
 from .common import table
 
@@ -65,6 +65,11 @@ def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def op12_katz_backoff_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return katz.score_documents(table(spark, sf_dir, "documents"), held_out, order=2, cutoff=5).scores
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))[0]
 
@@ -72,4 +77,4 @@ def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_line_dedup, op3_winnowing_decontamination,
                                    op4_ngram_jaccard_join, op5_hierarchical_language_id, op6_lpt_sharding, op7_suffix_tree_substring_dedup, op8_token_counts, op9_random_forest_secret_scan,
                                    op10_weak_supervision_quality, op11_periodic_run_detection,
-                                   op13_cross_tokenizer_alignment)}
+                                   op12_katz_backoff_scoring, op13_cross_tokenizer_alignment)}
