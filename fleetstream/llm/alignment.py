@@ -11,9 +11,10 @@ token of it.
 Whitespace-token anchors.  A shared end before which nothing is left open, and
 behind which both token streams go on with a token marked by a blank, is an
 anchor.  Anchors cut a text into windows of ids (about a word each) that can be
-aligned alone.  The alignment of a window depends on its ids only, so it is
-memoised by the two id tuples, in a table of bounded size for each worker; equal
-windows of a step are found by a hash of their ids first.
+aligned alone.  The alignment of a window depends on its ids only, so windows of
+a step are told apart by their id tuples (a 64-bit hash of both), each distinct
+one is aligned once, and the others take over its groups and links.  The full
+token streams are memoised, too, by segments that no token can cross.
 
 Corpus counts.  Each step of input (some megabytes of text) leaves one row: its
 documents with their links as (place in the step's pair list, occurrences), and
@@ -40,40 +41,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, env_once, mix, ship, stored, text_steps
+from .common import Words, _powers, env_once, mix, ship, stored, text_steps, word_hashes
 from .steps import packed, unpacked
-from .tokens import _byte_symbols
+from .tokens import _byte_symbols, _merged
 
-#: Windows whose alignment a worker keeps; the table is emptied when it gets there.
-MEMO_WINDOWS = 300_000
-#: Tokens of A in a window that is kept at most.
-MEMO_TOKENS = 64
+#: Segments whose ids a worker keeps, and their ids; the tables are emptied when they get there.
+MEMO_SEGMENTS = 800_000
+MEMO_IDS = 12_000_000
 #: Text bytes of a step.
 STEP = 4 << 20
 #: Text bytes that are tokenised at a time.
-ENCODE = 1 << 20
+ENCODE = 2 << 20
 
 
 class Vocabulary:
-    """Bytes of each token id, as one buffer with offsets."""
+    """Bytes of each token id, and its decimal digits, as buffers with offsets."""
 
     def __init__(self, pieces: list[bytes]):
-        self.size = np.array([len(p) for p in pieces], np.int64)
-        self.at = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.flat, self.at, self.size = _pool(pieces)
         self.spaced = np.array([p[:1] == b" " for p in pieces])
+        self.digits = _pool([b"%d," % i for i in range(len(pieces))])
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
-        n = self.size[ids]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.at[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return _gathered(self.flat, self.at[ids], self.size[ids])
 
 
-class Aligner:
-    """Both tokenizers and the memo; one object for each Python worker."""
+def _pool(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(p) for p in items], np.int64)
+    return np.frombuffer(b"".join(items), np.uint8), np.cumsum(size) - size, size
+
+
+def _places(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (n[0] of them), at[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(at - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _gathered(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return flat[_places(at, n)]
+
+
+# where a blank may begin a segment: behind and before one of these
+_BEFORE = np.zeros(256, bool)
+_BEFORE[0x21:0x7F] = True
+_LEAD = np.zeros(256, bool)  # two-byte letters: Latin and on, no blanks, no combining marks
+_LEAD[0xC3:0xCC] = _LEAD[0xD0:0xE0] = True
+
+
+class Tokens:
+    """Full token streams of texts by both libraries, one object a worker.
+
+    Neither vocabulary joins a character with a blank behind it, so a stream is
+    that of its segments: cuts are made before a single blank between letters,
+    digits or marks.  Segments are looked up by a 64-bit hash, new ones encoded.
+    Files for which that doesn't hold are given whole texts (``cuts``)."""
 
     def __init__(self, bytes_path: str, pieces_path: str):
         env_once()
+        import json
+
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(bytes_path)
@@ -82,121 +108,168 @@ class Aligner:
         symbol = {c: i for i, c in enumerate(_byte_symbols())}
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.va = Vocabulary([bytes(symbol[c] for c in t) if all(c in symbol for c in t) else t.encode() for t in names])
-        self.vb = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-                              for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))])
-        self.memo: dict[tuple[bytes, bytes], tuple] = {}
-
-    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = [np.array(ids, np.int32) for ids in self.b.encode(texts, num_threads=1)]
-        return a, b
-
-    def window(self, a: bytes, b: bytes) -> tuple[str, int, list[int], list[int]]:
-        """(groups as text, their number, linked id pairs, occurrences) of one window."""
-        got = self.memo.get((a, b))
-        if got is None:
-            got = self._aligned(np.frombuffer(a, np.int32).tolist(), np.frombuffer(b, np.int32).tolist())
-            if len(a) <= 4 * MEMO_TOKENS:
-                if len(self.memo) >= MEMO_WINDOWS:
-                    self.memo.clear()
-                self.memo[a, b] = got
-        return got
-
-    def _aligned(self, a: list[int], b: list[int]) -> tuple[str, int, list[int], list[int]]:
-        size_a, size_b = self.va.size[a].tolist(), self.vb.size[b].tolist()
-        groups, links = [], {}
-        i = j = first_a = first_b = 0
-        x, y = size_a[0], size_b[0]
-        while True:
-            if x == y:
-                ga, gb = a[first_a:i + 1], b[first_b:j + 1]
-                groups.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-                na, nb = _tally(ga), _tally(gb)
-                for p, n in na.items():
-                    for q, m in nb.items():
-                        links[p << 32 | q] = links.get(p << 32 | q, 0) + n * m
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups), len(groups), list(links), list(links.values())
-                first_a, first_b = i, j
-                x, y = x + size_a[i], y + size_b[j]
-            elif x < y:
-                i += 1
-                x += size_a[i]
-            else:
-                j += 1
-                y += size_b[j]
-
-    def step(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of each text (rows: n_a, n_b, n_groups, n_links), its groups as
-        text, and its links as (text, pair, occurrences)."""
-        counts, groups = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
-        there = [k for k, t in enumerate(texts) if t]
-        a, b = self.tokens([texts[k] for k in there])
-        sa, sb = ([int(v.size[x].sum()) for x in ids] for v, ids in ((self.va, a), (self.vb, b)))
-        raw = [b" " + texts[k].encode() for k in there]
-        ok = [i for i, r in enumerate(raw) if sa[i] == sb[i] == len(r)]
-        want = np.frombuffer(b"".join(raw[i] for i in ok), np.uint8)
-        ends = np.cumsum([0, *(len(raw[i]) for i in ok)])
-        bad = np.zeros(len(want), bool)
-        for v, ids in ((self.va, a), (self.vb, b)):
-            if ok:
-                bad |= v.joined(np.concatenate([ids[i] for i in ok])) != want
-        wrong = np.r_[0, np.cumsum(bad)][ends]
-        ok = [i for i, x, y in zip(ok, wrong[:-1], wrong[1:], strict=True) if x == y]
-        none = np.zeros(0, np.int64)
-        if not ok:
-            return counts, groups, none, none, none
-        rows = np.array([there[i] for i in ok])
-        counts[rows, 0], counts[rows, 1] = [len(a[i]) for i in ok], [len(b[i]) for i in ok]
-        at_a, at_b = np.cumsum([0, *(len(a[i]) for i in ok)]), np.cumsum([0, *(len(b[i]) for i in ok)])
-        a, b = np.concatenate([a[i] for i in ok]), np.concatenate([b[i] for i in ok])
-
-        # anchors: shared ends before tokens that both start with a blank, and the texts' ends
-        end_a, end_b = np.cumsum(self.va.size[a]), np.cumsum(self.vb.size[b])
-        j = np.searchsorted(end_b, end_a)
-        shared = np.flatnonzero(end_b[j] == end_a)
-        nxt_a, nxt_b = shared + 1, j[shared] + 1
-        inner = (nxt_a < len(a)) & (nxt_b < len(b))
-        anchor = inner.copy()
-        anchor[inner] = self.va.spaced[a[nxt_a[inner]]] & self.vb.spaced[b[nxt_b[inner]]]
-        cut_a, cut_b = np.union1d(at_a, nxt_a[anchor]), np.union1d(at_b, nxt_b[anchor])
-        text_of = np.searchsorted(at_a, cut_a[:-1], "right") - 1
-
-        # equal windows of the step are aligned once
-        _, first, back = np.unique(_span_hash(a, cut_a) + mix(_span_hash(b, cut_b)), return_index=True, return_inverse=True)
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        found = [self.window(raw_a[4 * cut_a[k]:4 * cut_a[k + 1]], raw_b[4 * cut_b[k]:4 * cut_b[k + 1]]) for k in first.tolist()]
-        texts_of = [f[0] for f in found]
-        named = back.tolist()
-        for r, (x, y) in zip(rows.tolist(), pairwise(np.searchsorted(text_of, np.arange(len(ok) + 1)).tolist()), strict=True):
-            groups[r] = ";".join([texts_of[k] for k in named[x:y]])
-        n_groups = np.array([f[1] for f in found])
-        counts[rows, 2] = np.bincount(text_of, n_groups[back], len(ok)).astype(np.int64)
-
-        # links of a text: those of its windows, summed by pair
-        pairs, pair = np.unique(np.concatenate([np.array(f[2], np.int64) for f in found]), return_inverse=True)
-        times = np.concatenate([np.array(f[3], np.int64) for f in found])
-        n = np.array([len(f[2]) for f in found])
-        place = np.cumsum(n) - n
-        many = n[back]
-        stop = np.cumsum(many)
-        of = np.repeat(place[back] - (stop - many), many) + np.arange(stop[-1])
-        key = np.repeat(text_of, many) * len(pairs) + pair[of]
-        key, of_key = np.unique(key, return_inverse=True)
-        occ = np.bincount(of_key, times[of]).astype(np.int64)
-        row, pair = rows[key // len(pairs)], pairs[key % len(pairs)]
-        counts[:, 3] = np.bincount(row, occ, len(texts)).astype(np.int64)
-        return counts, groups, row, pair, occ
-
-
-def _tally(ids: list[int]) -> dict[int, int]:
-    if len(ids) == 1:
-        return {ids[0]: 1}
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
+        pieces = self.b.id_to_piece(list(range(self.b.get_piece_size())))
+        self.vb = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode()
+                              for i, p in enumerate(pieces)])
+        made = json.loads(self.a.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.cuts = (made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+                     and not split.get("add_prefix_space") and not any("\u2581" in p.lstrip("\u2581") for p in pieces))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.ids = [np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)]
+        self.used = [0, 0]
+        self.place = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.n = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def encode(self, texts: list[str]) -> list[list[list[int]]]:
+        """Ids of a blank and each text."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [a, self.b.encode(texts, num_threads=1)]
+
+    def _learn(self, raw: list[bytes]) -> None:
+        for k, ids in enumerate(self.encode([r[1:].decode() for r in raw])):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(n.sum())
+            if self.used[k] + total > len(self.ids[k]):
+                self.ids[k] = np.concatenate([self.ids[k][:self.used[k]], np.zeros(self.used[k] + 2 * total, np.int32)])
+            self.ids[k][self.used[k]:self.used[k] + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+            self.place[k] = np.r_[self.place[k], self.used[k] + np.cumsum(n) - n]
+            self.n[k] = np.r_[self.n[k], n]
+            self.used[k] += total
+
+    def streams(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B: ids of all rows of ``buf`` (each a blank and a text), the rows' offsets in them."""
+        w = Words.__new__(Words)
+        w.buf = buf
+        cut = np.zeros(len(buf) + 1, bool)
+        if self.cuts and len(buf) > 3:
+            behind = _BEFORE[buf[1:-2]] | ((buf[1:-2] >> 6 == 2) & _LEAD[buf[:-3]])
+            cut[2:-2] = (buf[2:-1] == 0x20) & behind & (_BEFORE[buf[3:]] | _LEAD[buf[3:]])
+        cut[offsets] = True
+        edges = np.flatnonzero(cut)
+        w.start, w.end = edges[:-1], edges[1:]
+        if len(self.known[0]) > MEMO_SEGMENTS or max(self.used) > MEMO_IDS:
+            self._empty()
+        h, first, back = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known[0], h)
+        at[at == len(self.known[0])] = 0
+        new = np.flatnonzero(self.known[0][at] != h) if len(self.known[0]) else np.arange(len(h))
+        if len(new):
+            where = len(self.place[0]) + np.arange(len(new))
+            self._learn([buf[s:e].tobytes() for s, e in zip(w.start[first[new]], w.end[first[new]], strict=True)])
+            self.known = _merged(self.known, (h[new], where, np.zeros(len(new), np.int32)))
+            at = np.searchsorted(self.known[0], h)
+        seg = self.known[1][at][back]
+        rows = np.searchsorted(w.start, offsets)
+        out = []
+        for k in (0, 1):
+            n = self.n[k][seg]
+            out.append((_gathered(self.ids[k], self.place[k][seg], n), np.r_[0, np.cumsum(n)][rows]))
+        return out
+
+
+def _aligned(va: Vocabulary, vb: Vocabulary, a: np.ndarray, at_a: np.ndarray, n_a: np.ndarray,
+             b: np.ndarray, at_b: np.ndarray, n_b: np.ndarray) -> tuple:
+    """Alignment of windows a[at_a:at_a + n_a] with b[at_b:at_b + n_b], which
+    cover the same bytes: their groups as text, numbers of groups, and links
+    (window, pair, occurrences), by window."""
+    a, b = a[_places(at_a, n_a)], b[_places(at_b, n_b)]
+    window = np.repeat(np.arange(len(n_a)), n_a)
+    end_a, end_b = np.cumsum(va.size[a]), np.cumsum(vb.size[b])
+    j = np.searchsorted(end_b, end_a)
+    last_a, last_b = end_b[j] == end_a, np.zeros(len(b), bool)
+    last_b[j[last_a]] = True
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    window_of = window[last_a]
+
+    # a group's A ids, then its B ids; a comma behind each, a bar and a semicolon behind the last ones
+    many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+    put_a = np.arange(len(a)) + np.repeat(np.cumsum(many_b) - many_b, many_a)
+    put_b = np.arange(len(b)) + np.repeat(np.cumsum(many_a), many_b)
+    flat = np.concatenate([va.digits[0], vb.digits[0]])
+    at, size = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.int64)
+    at[put_a], size[put_a] = va.digits[1][a], va.digits[2][a]
+    at[put_b], size[put_b] = vb.digits[1][b] + len(va.digits[0]), vb.digits[2][b]
+    text = _gathered(flat, at, size)
+    stop = np.cumsum(size)
+    text[stop[put_a[last_a]] - 1] = ord("|")
+    text[stop[put_b[last_b]] - 1] = ord(";")
+    n_groups = np.bincount(window_of, minlength=len(n_a))
+    ends = stop[put_b[last_b]][np.cumsum(n_groups) - 1]
+    whole = text.tobytes().decode("ascii")
+    texts = [whole[x:y - 1] for x, y in pairwise([0, *ends.tolist()])]
+
+    # links: distinct ids of a group on both sides, with how often each stands there
+    ka, ca = np.unique(group_a << 32 | a, return_counts=True)
+    kb, cb = np.unique(group_b << 32 | b, return_counts=True)
+    of_b = np.bincount(kb >> 32)
+    first_b = np.cumsum(of_b) - of_b
+    n = of_b[ka >> 32]
+    left, right = np.repeat(np.arange(len(ka)), n), _places(first_b[ka >> 32], n)
+    mask = (1 << 32) - 1
+    return texts, n_groups, window_of[ka[left] >> 32], (ka[left] & mask) << 32 | (kb[right] & mask), ca[left] * cb[right]
+
+
+def aligned_texts(made: Tokens, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each text (rows: n_a, n_b, n_groups, n_links), its groups as
+    text, and its links as (text, pair, occurrences)."""
+    counts, groups = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
+    none = np.zeros(0, np.int64)
+    rows = np.array([k for k, t in enumerate(texts) if t], np.int64)
+    if not len(rows):
+        return counts, groups, none, none, none
+    raw = [b" " + texts[k].encode() for k in rows.tolist()]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    streams = made.streams(buf, off)
+    good = np.ones(len(rows), bool)
+    for (ids, at), v in zip(streams, (made.va, made.vb), strict=True):
+        good &= np.diff(np.r_[0, np.cumsum(v.size[ids])][at]) == np.diff(off)
+    for k, v in enumerate((made.va, made.vb)):  # rows of the right length, byte by byte
+        ids, at = streams[k]
+        wrong = v.joined(ids[np.repeat(good, np.diff(at))]) != buf[np.repeat(good, np.diff(off))]
+        good[good] = np.diff(np.r_[0, np.cumsum(wrong)][np.r_[0, np.cumsum(np.diff(off)[good])]]) == 0
+    if not good.any():
+        return counts, groups, none, none, none
+    rows = rows[good]
+    (a, at_a), (b, at_b) = ((ids[np.repeat(good, np.diff(at))], np.r_[0, np.cumsum(np.diff(at)[good])]) for ids, at in streams)
+    counts[rows, 0], counts[rows, 1] = np.diff(at_a), np.diff(at_b)
+
+    # anchors: shared ends before tokens that both start with a blank, and the texts' ends
+    va, vb = made.va, made.vb
+    end_a, end_b = np.cumsum(va.size[a]), np.cumsum(vb.size[b])
+    j = np.searchsorted(end_b, end_a)
+    shared = np.flatnonzero(end_b[j] == end_a)[:-1]
+    next_a, next_b = shared + 1, j[shared] + 1
+    anchor = va.spaced[a[next_a]] & vb.spaced[b[next_b]]
+    cut_a, cut_b = np.union1d(at_a, next_a[anchor]), np.union1d(at_b, next_b[anchor])
+    text_of = np.searchsorted(at_a, cut_a[:-1], "right") - 1
+
+    # windows of the same ids are aligned once
+    key = _span_hash(a, cut_a) + mix(_span_hash(b, cut_b))
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    found, n_groups, window, pair, times = _aligned(va, vb, a, cut_a[first], np.diff(cut_a)[first], b, cut_b[first], np.diff(cut_b)[first])
+    bounds = np.searchsorted(text_of, np.arange(len(rows) + 1)).tolist()
+    named = back.tolist()
+    for r, (x, y) in zip(rows.tolist(), pairwise(bounds), strict=True):
+        groups[r] = ";".join([found[k] for k in named[x:y]])
+    counts[rows, 2] = np.bincount(text_of, n_groups[back], len(rows)).astype(np.int64)
+
+    # links of a text: those of its windows, summed by pair
+    pairs, pair = np.unique(pair, return_inverse=True)
+    n = np.bincount(window, minlength=len(first))
+    of = _places((np.cumsum(n) - n)[back], n[back])
+    key = np.repeat(text_of, n[back]) * len(pairs) + pair[of]
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    occ = np.add.reduceat(times[of][order], at)
+    key = key[at]
+    row, pair = rows[key // len(pairs)], pairs[key % len(pairs)]
+    counts[:, 3] = np.bincount(row, occ, len(texts)).astype(np.int64)
+    return counts, groups, row, pair, occ
 
 
 def _span_hash(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -207,15 +280,15 @@ def _span_hash(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return mix((s[cut[1:]] - s[cut[:-1]]) * back[cut[:-1]])
 
 
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+_TOKENS: dict[tuple[str, str], Tokens] = {}
 
 
-def aligner(bytes_path: str, pieces_path: str) -> Aligner:
-    """One aligner for each pair of files in this Python worker."""
+def tokens(bytes_path: str, pieces_path: str) -> Tokens:
+    """One object for each pair of files in this Python worker."""
     key = bytes_path, pieces_path
-    if key not in _ALIGNERS:
-        _ALIGNERS[key] = Aligner(*key)
-    return _ALIGNERS[key]
+    if key not in _TOKENS:
+        _TOKENS[key] = Tokens(*key)
+    return _TOKENS[key]
 
 
 _STEP = "step long, pairs array<long>, n_docs array<int>, body binary"
@@ -224,11 +297,11 @@ _STEP = "step long, pairs array<long>, n_docs array<int>, body binary"
 def _align(bytes_path: str, pieces_path: str, keep_groups: bool):
     """(part, id, text) -> one row for each step."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = aligner(bytes_path, pieces_path)
+        made = tokens(bytes_path, pieces_path)
         k = 0
         for b in batches:
             for i, j, _, _ in text_steps(b.column(2), STEP):
-                parts = [made.step(col.to_pylist()) for col in _few(b.column(2).slice(i, j - i))]
+                parts = [aligned_texts(made, col.to_pylist()) for col in _few(b.column(2).slice(i, j - i))]
                 shift = np.cumsum([0, *(len(p[0]) for p in parts)])
                 counts = np.concatenate([p[0] for p in parts])
                 groups = [g for p in parts for g in p[1]]

@@ -2,7 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 from fleetstream.llm import alignment
-from fleetstream.llm.alignment import Aligner, align_documents
+from fleetstream.llm.alignment import Tokens, align_documents, aligned_texts
 
 from .conftest import as_multiset, frame
 
@@ -10,7 +10,7 @@ from .conftest import as_multiset, frame
 def plain(rows):
     """Groups, links and counts of all rows, from the libraries' own tokens."""
     import public_tokenizers as P
-    one = Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    one = Tokens(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     symbol = {c: bytes([i]) for i, c in enumerate(alignment._byte_symbols())}
     docs, found = [], defaultdict(int)
     for i, t, _, _ in rows:
@@ -73,20 +73,37 @@ def test_equals_plain(spark, rows):
     assert {(r.a, r.b, r.n_docs, r.best) for r in table.collect()} == pairs
 
 
-def test_whole_texts_and_small_memo(rows, monkeypatch):
-    """Windows, memoised or not, give what one window of the whole text gives."""
+def test_streams_equal_libraries(rows, monkeypatch):
+    """Full token streams, also with a memo that is emptied again and again, and without one."""
+    import numpy as np
     import public_tokenizers as P
-    monkeypatch.setattr(alignment, "MEMO_WINDOWS", 50)
-    one = Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(alignment, "MEMO_SEGMENTS", 50)
+    one = Tokens(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    assert one.cuts
+    rng = np.random.default_rng(4)
+    bits = ["a", "B", "é", "e\u0301", "'s", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2581", "1", "23", ".", ",", "ß", "日本",
+            "😀", "\x00", "\u200b", "!!", "word", " the", "ﬁ", "\u0301", "<s>", "Ω", "ж", "\u0085"]
+    texts = [r[1] for r in rows if r[1]] + ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(3000)]
+    want = one.encode(texts)
+    for cuts in (True, False):
+        one.cuts = cuts
+        for i in range(0, len(texts), 100):
+            raw = [b" " + t.encode() for t in texts[i:i + 100]]
+            got = one.streams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            for (ids, at), lib in zip(got, want, strict=True):
+                for k in range(len(raw)):
+                    assert ids[at[k]:at[k + 1]].tolist() == lib[i + k]
+
+
+def test_rows_alone_and_together(rows):
+    import public_tokenizers as P
+    one = Tokens(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
     texts = [r[1] for r in rows]
-    counts, groups, row, _, occ = one.step(texts)
-    a, b = one.tokens([t or "" for t in texts])
+    counts, groups, row, pair, occ = aligned_texts(one, texts)
     for k, t in enumerate(texts):
-        if groups[k]:
-            text, n, _, times = one._aligned(a[k].tolist(), b[k].tolist())
-            assert groups[k] == text and counts[k].tolist() == [len(a[k]), len(b[k]), n, sum(times)] and occ[row == k].sum() == sum(times)
-        else:
-            assert not t or counts[k].tolist() == [0] * 4
+        c, g, _, p, n = aligned_texts(one, [t])
+        assert c[0].tolist() == counts[k].tolist() and g[0] == groups[k]
+        assert p.tolist() == pair[row == k].tolist() and n.tolist() == occ[row == k].tolist()
     assert sum(bool(g) for g in groups) > 80
 
 
