@@ -76,10 +76,18 @@ def shared_dir(spark: SparkSession) -> str:
 _STORED: dict[str, list[str]] = {}
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, keep: str | None = None) -> None:
     """Delete the tables that operators have stored in this application: call
-    it when the results that read them have been written."""
-    for path in _STORED.pop(spark.sparkContext.applicationId, []):
+    it when the results that read them have been written.  ``keep``: those of
+    this name stay."""
+    app = spark.sparkContext.applicationId
+    all_ = _STORED.pop(app, [])
+    kept = [p for p in all_ if keep and p.rsplit("/", 1)[1].startswith(f"{keep}-")]
+    if kept:
+        _STORED[app] = kept
+    for path in all_:
+        if path in kept:
+            continue
         hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 

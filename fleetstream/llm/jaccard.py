@@ -22,9 +22,9 @@ distinct shingles of ``size`` lower-cased words.
    have, mostly its own.
 3. Verification.  Documents with the same set are one node.  For each key the
    smallest node is compared with the others, linked nodes are put together,
-   and then, key by key, every node outside of the key's largest component is
-   compared with all nodes of the key that aren't in its component yet, some
-   at a time, until none is left.  A sketch with a proven bound (the bits that
+   and then every node outside of its key's largest component is compared with
+   all nodes of the key that aren't in its component yet: some of each key
+   first, as they put much together, then all others, in one pass.  A sketch with a proven bound (the bits that
    differ need as many different shingles) keeps pairs that can't be similar
    from being made.  No other pair in two components goes untested, and groups
    of near copies never become all pairs.
@@ -82,7 +82,8 @@ def least_shared(n, t: int):
 
 
 def _token(bucket: np.ndarray | int, h: np.ndarray) -> np.ndarray:
-    """Bucket number and the low bits of the hash, as one integer."""
+    """Low 16 bits of the bucket number, and the low bits of the hash, as one
+    integer: 64 bits of the hash's choice, however many buckets there are."""
     return (np.asarray(bucket).astype(np.uint64) << np.uint64(48)) | (h & LOW)
 
 
@@ -253,7 +254,7 @@ def indexed(docs: DataFrame, *, threshold: int, size: int, frequent: int, id: st
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     from pyspark.sql.pandas.types import to_arrow_type
     kind = rows.schema["id"].dataType
-    buckets = min(1 << 15, parts(text_bytes(rows), 8 << 20, spread(spark)))
+    buckets = parts(text_bytes(rows), 8 << 20, spread(spark))
     entries = rows.mapInArrow(_split(buckets, size), "bucket int, step long, kind int, body binary")
     # as many partitions as buckets: a task's share stays the same as the corpus grows
     answers = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_frequencies, "step long, kind int, body binary")
@@ -289,8 +290,17 @@ def _may_link(x: list[str], y: list[str], nx: str, ny: str, threshold: int):
     return (100 + threshold) * apart <= (100 - threshold) * (F.col(nx) + F.col(ny))
 
 
+#: Nodes of a key that are compared with the key's others in one task.
+BLOCK = 2048
+
+
 def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 21) -> DataFrame:
-    """(node, component) of the nodes with links."""
+    """(node, component) of the nodes with links.
+
+    Two passes over the keys whose nodes aren't all in one component: the first
+    compares some nodes of a key (``at_once`` pairs for a key, about) and puts
+    together what is linked, the second all that are still apart.  A key's
+    nodes are dealt into blocks, so its pairs are made by many tasks."""
     from .components import components, merged
 
     entries = sets.select("node", "n", F.explode("keys").alias("key"))
@@ -301,11 +311,11 @@ def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 21) -> Dat
              .select(*_pair("node", "lead.node")).distinct())
     tested = stored(_verified(first, sets, threshold), "jaccard-tested")
     comp = stored(components(tested.filter("linked").select("a", "b")), "jaccard-components")
-    entries, done = shared.select("key", "node", "n"), None
+    entries = shared.select("key", "node", "n")
     bits = [f"s{k}" for k in range(SKETCH // 64)]
     sketches = sets.select("node", (F.col("n") - F.size("tokens")).alias("own"), *(F.col("sketch")[k].alias(c) for k, c in enumerate(bits)))
     one, two = ["own", *bits], ["own2", *(f"{c}2" for c in bits)]
-    while True:
+    for some in (True, False):
         placed = entries.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # keys whose nodes are not all in one component
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -316,31 +326,34 @@ def linked_nodes(sets: DataFrame, threshold: int, at_once: int = 1 << 21) -> Dat
         entries_open = stored(placed.join(open_keys.select("key", "main", "m"), "key").join(sketches, "node")
                               .withColumn("k1", F.lag("key", 1).over(along)).withColumn("k2", F.lag("key", 2).over(along)),
                               "jaccard-open")
-        todo = entries_open.filter("component <> main")
-        if done is not None:
-            todo = todo.join(done, ["key", "node"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        picked = stored(todo.withColumn("r", rank).filter(F.col("r") <= F.greatest(F.lit(4), at_once / F.col("m")))
-                        .select("key", "node", "n", "component", "k1", "k2", *one), "jaccard-picked")
-        if picked.isEmpty():
-            return comp
-        others = entries_open.select("key", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("component").alias("c2"),
-                                     F.col("k1").alias("q1"), F.col("k2").alias("q2"), *(F.col(a).alias(b) for a, b in zip(one, two, strict=True)))
+        picked = entries_open.filter("component <> main")
+        blocks = F.expr(f"(m + {BLOCK - 1}) div {BLOCK}")
+        if some:
+            picked = picked.filter(F.expr(f"pmod(xxhash64(node, key), m) < greatest(4, {at_once} div m)"))
+            blocks = F.lit(1).cast("long")
+        picked = picked.select("key", "node", "n", "component", "k1", "k2", F.expr("pmod(xxhash64(key, node), {})".format(
+            1 if some else f"(m + {BLOCK - 1}) div {BLOCK}")).alias("block"), *one)
+        others = entries_open.select("key", F.col("node").alias("other"), F.col("n").alias("n2"), F.col("component").alias("c2"), "main",
+                                     F.col("k1").alias("q1"), F.col("k2").alias("q2"), *(F.col(a).alias(b) for a, b in zip(one, two, strict=True)),
+                                     F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
         # two nodes that share the key before, too, meet there: the first key they share is the one that counts
         before = F.lit(False)
         for x in ("k1", "k2"):
             for y in ("q1", "q2"):
                 before = before | F.coalesce(F.col(x) == F.col(y), F.lit(False))
-        pairs = (picked.join(others, "key").filter("component <> c2").filter(~before & _may_link(one, two, "n", "n2", threshold))
+        # where both are picked, one of them brings the pair
+        once = (F.col("c2") == F.col("main")) | (F.col("node") < F.col("other")) if not some else F.lit(True)
+        pairs = (picked.join(others, ["key", "block"]).filter("component <> c2")
+                 .filter(once & ~before & _may_link(one, two, "n", "n2", threshold))
                  .select(*_pair("node", "other")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         more = stored(_verified(pairs, sets, threshold), "jaccard-tested")
-        tested = tested.unionByName(more)
         links = more.filter("linked").select("a", "b")
         if not links.isEmpty():
             comp = stored(merged(comp, links), "jaccard-components")
-        now = picked.select("key", "node")
-        done = now if done is None else done.unionByName(now)
-        entries = entries_open.select("key", "node", "n")
+        if some:
+            tested = tested.unionByName(more)
+            entries = entries_open.select("key", "node", "n")
+    return comp
 
 
 def similar_documents(docs: DataFrame, *, threshold: int = 80, size: int = 5, frequent: int = 64,

@@ -50,7 +50,7 @@ from .common import _Q, NOT_SPACE, Words, mix, parts, ship, spread, stored, text
 from .steps import SCHEMA, apply_by, batch, bucket_cuts, bundle, deltas, packed, squeezed, unbundle, undeltas, unpacked, unsqueezed
 
 #: Text bytes of a step.
-STEP = 8 << 20
+STEP = 4 << 20
 #: Kinds of rows; the order of the n-grams is added to each of the first five.
 COUNTS, ANSWERS, TABLE, SUMS, WEIGHTS = 100, 200, 300, 400, 500
 STATS, TEXTS, STATE = 1, 2, 3
@@ -336,7 +336,7 @@ def score_documents(docs: DataFrame, held_out: Column, *, order: int = 2, cutoff
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id).alias("id"),
                        F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
-    groups = parts(text_bytes(docs, text), 2 * STEP, spread(spark))
+    groups = parts(text_bytes(docs, text), 4 * STEP, spread(spark))
 
     added = apply_by(rows.mapInArrow(_send_counts(order, groups), SCHEMA), "bucket", groups, _add_up(order, cutoff))
     added = stored(added, "katz-counts")

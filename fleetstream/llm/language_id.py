@@ -8,8 +8,8 @@ document's margin is the mean weight of its 4-grams: no feature vector is
 built when predicting.
 
 Training learns from a bounded sample: for each language value at most
-``sample`` // languages rows, those with the smallest hash of the id, all
-counted over the whole table.  Held-out rows (``crc32(id) mod 5 = 0``), rows
+``sample`` // languages rows, those with the smallest hash of id and text, equal
+rows once, all counted over the whole table.  Held-out rows (``crc32(id) mod 5 = 0``), rows
 with a null id, language or text, and texts without a letter are never learned
 from.  Language, source and id are no inputs of a prediction.
 
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ddl, ship, text_steps
+from .common import ddl, lean, ship, text_steps
+from .steps import bundle, squeezed, unbundle, unsqueezed
 
 #: Families of languages by ISO 639-1 code; a language not named here is a family of its own.
 FAMILIES = {
@@ -135,16 +136,44 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, h, text) -> (lang, h, relative frequencies as float32 bytes)."""
+    """(lang, h, text) -> (lang, h, counts of the features that occur, compressed)."""
     for b in batches:
         for i, j, buf, off in text_steps(b.column(2), STEP):
             code = gram_codes(buf, off)
-            vec = [(np.bincount(code[a:z], minlength=1 << DIM_BITS) / max(1, z - a)).astype(np.float32).tobytes()
-                   for a, z in zip(off[:-1], off[1:], strict=True)]
+            vec = []
+            for a, z in zip(off[:-1], off[1:], strict=True):
+                n = np.bincount(code[a:z], minlength=1 << DIM_BITS).astype(np.int64)
+                there = np.flatnonzero(n)
+                vec.append(bundle(squeezed(there), squeezed(n[there])))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(vec, pa.binary())],
                                               names=["lang", "h", "vec"])
 
 
+def _picked(usable: DataFrame, each: int, counts: dict[str, int]) -> DataFrame:
+    """(lang, h, text): for each language the ``each`` rows with the smallest
+    hash of id and text, equal rows once.
+
+    Hashes are spread evenly, so rows below a bound that twice ``each`` rows
+    should meet are candidates, and only their hashes are ranked; a language that
+    has too few candidates (many equal rows) gets its bound doubled."""
+    rows = usable.withColumn("h", F.xxhash64("id", "text"))
+    share = {v: min(1.0, (2 * each + 64) / n) for v, n in counts.items()}
+    place = F.col("h").cast("double") / 2.0**64 + 0.5
+    line = Window.partitionBy("lang").orderBy("h")
+    while True:
+        bound = F.element_at(F.create_map(*(F.lit(x) for kv in share.items() for x in kv)), F.col("lang"))
+        near = (rows.filter(place <= bound).select("lang", "h").distinct()  # combined before the shuffle
+                .withColumn("k", F.row_number().over(line)).filter(F.col("k") <= each)
+                .groupBy("lang").agg(F.max("h").alias("last"), F.count(F.lit(1)).alias("n")).collect())
+        last = {r["lang"]: r["last"] for r in near}
+        few = [v for v in share if share[v] < 1 and sum(r["n"] for r in near if r["lang"] == v) < each]
+        if not few:
+            break
+        share |= {v: min(1.0, 4 * share[v]) for v in few}
+    cut = F.element_at(F.create_map(*(F.lit(x) for kv in last.items() for x in kv)), F.col("lang"))
+    return rows.filter(F.col("h") <= cut).select("lang", "h", "text").dropDuplicates(["lang", "h"])
+
+
 _LETTER = r"\p{L}"
 
 
@@ -158,26 +187,24 @@ def fit(docs: DataFrame, *, sample: int = 4000, families: dict[str, list[str]] |
     ship(docs.sparkSession)
     family_of = {x: f for f, langs in (families or FAMILIES).items() for x in langs}
     usable = docs.filter(~held_out(id) & F.col(lang).isNotNull() & F.col(text).rlike(_LETTER))
-    counts = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(sample).collect()
+    usable = usable.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not counts:
         return Model([], [], np.zeros((1 << DIM_BITS, 0), np.float32), np.zeros(0))
     each = max(1, sample // len(counts))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = (usable.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(F.col(id).cast("string")).alias("h"))
-              .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).select("id").distinct())
-    rows = (usable.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-            .join(F.broadcast(picked), "id")  # ``sample`` ids at most
-            .select("lang", F.xxhash64("id", "text").alias("h"), "text").limit(2 * sample)  # repeated ids
-            .mapInArrow(_features, "lang string, h long, vec binary").toArrow())
+    rows = (_picked(usable, each, {r["lang"]: r["count"] for r in counts})
+            .mapInArrow(_features, "lang string, h long, vec binary").toArrow())  # ``sample`` rows at most, a kilobyte or two each
     # one order, however the rows were partitioned: the machines' last digits depend on it
     label = np.array(rows.column("lang").to_pylist(), object)
     order = np.lexsort((label.astype(str), rows.column("h").to_numpy()))
     label = label[order]
-    # vectors of one length: the column's bytes are the matrix; the rest works in place
-    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[:len(c) << DIM_BITS].reshape(-1, 1 << DIM_BITS)
-                        for c in rows.column("vec").chunks])
-    del rows
-    x = x[order]
+    lean()
+    x = np.zeros((len(label), 1 << DIM_BITS), np.float32)  # all else works in place
+    vec = rows.column("vec")
+    for k, r in enumerate(order.tolist()):
+        at, n = (unsqueezed(p) for p in unbundle(vec[r].as_py()))
+        x[k, at] = n / max(1, n.sum())
+    del rows, vec
     mean = x.mean(0)
     spread = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x) / len(x) - mean * mean))
     scale = (1 / (spread + 1e-4)).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
