@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import messages, sinks, tasks
@@ -22,6 +22,7 @@ from .sources import files
 from .plans import analysis
 from .session import release_materialized, spread
 from .streaming import newfiles
+from .streaming.listing import directory_stream
 
 
 def _session(master: str | None) -> SparkSession:
@@ -77,10 +78,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = _session(a.master)
     if a.cmd == "cluster":
         workers = None if a.workers == "auto" else [int(x) for x in a.workers.split(",")]
+        counts = Observation("cpu"), Observation("cores")
         series = analysis.cluster_series(spark, a.data, a.run, workers=workers,
-                                         start=a.start, end=a.end, mode=a.lines)
+                                         start=a.start, end=a.end, mode=a.lines, counts=counts)
         sinks.write_series(series, a.out)
-        analysis.bad_lines(spark, a.data, a.run).filter("n_bad > 0").show(truncate=False)
+        if any(c.get["n_bad"] for c in counts):  # a second pass, by host, only where there is something to see
+            analysis.bad_lines(spark, a.data, a.run).filter("n_bad > 0").show(truncate=False)
     elif a.cmd == "workers":
         series = analysis.worker_series(spark, a.data, a.run, start=a.start, end=a.end, mode=a.lines)
         sinks.write_series(series, a.out)
@@ -99,10 +102,9 @@ def main(argv: list[str] | None = None) -> None:
     else:
         handler = newfiles.task_handler(a.argv, on_error=a.on_error, timeout_s=a.timeout,
                                         out_root=a.task_out or f"{a.out.rstrip('/')}/task-out") if a.argv else None
-        files_in = newfiles.new_file_stream(spark, a.watch, path_glob_filter=a.name,
-                                            new_files_only=not a.all_files, checkpoint=a.checkpoint)
+        files_in = directory_stream(spark, a.watch, name=a.name, new_files_only=not a.all_files, checkpoint=a.checkpoint)
         q = newfiles.start(files_in, a.out, a.checkpoint, handler, available_now=a.once,
-                           interval=a.interval, max_slices=a.max_slices)
+                           interval=a.interval, max_slices=a.max_slices, idle_batches=False)
         q.awaitTermination()
     release_materialized(spark)
 

@@ -121,11 +121,14 @@ def matches_joined(text, pattern: str = USED_CORES_CELL_PATTERN, group: int = 1)
         F.concat(F.array_join(found, ","), F.lit(",")))
 
 
-def keep_parsed(df, parsed_col: str = "p", mode: str = "drop"):
+def keep_parsed(df, parsed_col: str = "p", mode: str = "drop", counts=None):
     """Bad-line policy: ``drop`` keeps ``ok`` rows, ``strict`` raises on the
     first bad row (``raise_error`` inside the job, no collect), ``keep`` keeps
-    all rows with the flag."""
+    all rows with the flag.  ``counts``: an ``Observation`` that gets
+    ``n_lines`` and ``n_bad`` from the pass that reads the lines."""
     ok = F.col(f"{parsed_col}.ok")
+    if counts is not None:
+        df = df.observe(counts, F.count(F.lit(1)).alias("n_lines"), F.count(F.when(~ok, 1)).alias("n_bad"))
     if mode == "drop":
         return df.filter(ok)
     if mode == "strict":

@@ -36,7 +36,9 @@ def add_range_bucket(df: DataFrame, order_cols: Sequence[str] | str, n_buckets:
     as a fraction under the first column's smallest step of 1.  A tie in the
     key stays in one bucket; the key never goes against the order.  Bounds
     come from ``approxQuantile``: one double for each bucket reaches the
-    driver.  The lookup is Spark's binary-search ``Bucketizer``.
+    driver.  The lookup is Spark's binary-search ``Bucketizer``.  Rows without
+    a first value have a bucket of their own before all others, where a sort
+    puts them.
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     types = dict(df.dtypes)
@@ -60,7 +62,8 @@ def add_range_bucket(df: DataFrame, order_cols: Sequence[str] | str, n_buckets:
     splits = [float("-inf"), *inner, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=tmp + "_k", outputCol=tmp,
                           handleInvalid="keep").transform(keyed)
-    return bucketed.withColumn(out, F.col(tmp).cast("int")).drop(tmp, tmp + "_k")
+    place = F.when(first.isNull(), F.lit(-1)).otherwise(F.col(tmp).cast("int"))
+    return bucketed.withColumn(out, place).drop(tmp, tmp + "_k")
 
 
 def join_groups(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -83,18 +86,19 @@ def _ordering(df: DataFrame, order_cols: Sequence[str], skip: Sequence[str] = ()
 
     ``max_by`` with a struct ordering has a buffer Spark can only aggregate by
     sorting.  When the order is at most two integral columns ``(a, b)`` it is
-    packed into one ``decimal(38,0)``, ``(a + 2^61) * 2^64 + (b + 2^63)``,
-    which keeps the order exactly for ``|a| < 2^61`` (epoch milliseconds for
+    packed into one ``decimal(38,0)``, ``a' * (2^64 + 2) + b'`` with ``a' = a +
+    2^61 + 1``, ``b' = b + 2^63 + 1`` and 0 for a NULL, which comes first.  That
+    keeps the order exactly for ``|a| < 2^61`` (epoch milliseconds for
     millions of years) and any ``b``, and lets Spark hash-aggregate."""
     cols = [c for c in order_cols if c not in set(skip)]
     types = dict(df.dtypes)
     if 0 < len(cols) <= 2 and all(types.get(c) in _INTEGRAL for c in cols):
-        dec = "decimal(38,0)"
+        whole = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+        up = lambda c, by: F.coalesce(F.col(c).cast("decimal(38,0)") + whole(by + 1), whole(0))
         if len(cols) == 1:
-            return F.col(cols[0]).cast("bigint")
+            return up(cols[0], 2 ** 63).cast("decimal(38,0)")
         a, b = cols
-        hi = (F.col(a).cast(dec) + F.lit(str(2 ** 61)).cast(dec)) * F.lit(str(2 ** 64)).cast(dec)
-        return (hi + (F.col(b).cast(dec) + F.lit(str(2 ** 63)).cast(dec))).cast(dec)
+        return (up(a, 2 ** 61) * whole(2 ** 64 + 2) + up(b, 2 ** 63)).cast("decimal(38,0)")
     return F.struct(*[F.col(c) for c in cols])
 
 
@@ -118,10 +122,11 @@ def running_latest_sum(df: DataFrame, group_cols: Sequence[str], key_col: str,
     part = group_cols + [BUCKET]
     order_struct = _ordering(b, order_cols, skip=[key_col])
     key = F.col(key_col)
+    there = F.col(value_col).isNotNull()  # a NULL changes no latest value
 
     last_in_bucket = b.groupBy(*part).agg(*[
         F.max_by(F.when(key == F.lit(k), F.col(value_col)),
-                 F.when(key == F.lit(k), order_struct)).alias(f"_last{i}")
+                 F.when((key == F.lit(k)) & there, order_struct)).alias(f"_last{i}")
         for i, k in enumerate(keys)
     ])
     before = (Window.partitionBy(*group_cols).orderBy(BUCKET)
@@ -159,6 +164,41 @@ def _with_head(rows: DataFrame, heads: DataFrame) -> DataFrame:
         heads.withColumn(_HEAD, F.lit(0)), allowMissingColumns=True)
 
 
+def _halves(v: Column) -> tuple[Column, Column]:
+    """A double as two integers, of 2^-32 and of 2^-64: exact for values that
+    are whole multiples of 2^-64 (from 2^-11 on all are, and are below 2^31)."""
+    scaled = v * F.lit(2.0 ** 32)
+    return F.floor(scaled).cast("bigint"), F.floor((scaled - F.floor(scaled)) * F.lit(2.0 ** 32)).cast("bigint")
+
+
+def running_latest_sum_open(df: DataFrame, group_cols: Sequence[str], key_col: str, value_col: str,
+                            order_cols: Sequence[str], out: str = "total", n_buckets: int | None = None) -> DataFrame:
+    """W1 for any number of keys: as ``running_latest_sum`` over all keys there
+    are, without a column for each.
+
+    A row changes the sum by its value less its key's value before (0 before the
+    first; a NULL value changes nothing), so the sum is a prefix sum of
+    changes.  Changes are integers (``_halves``), so sums of buckets add up
+    exactly and the result is the exact sum, rounded once."""
+    from ..session import materialize
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    there = F.col(value_col).isNotNull()
+    moved = rank_and_previous(df.filter(there), [*group_cols, key_col], order_cols, [value_col], n_buckets=n_buckets)
+    new, old = _halves(F.col(value_col).cast("double")), _halves(F.coalesce(F.col(f"prev_{value_col}").cast("double"), F.lit(0.0)))
+    moved = moved.select(*df.columns, (new[0] - old[0]).alias("_high"), (new[1] - old[1]).alias("_low"))
+    none = F.lit(0).cast("bigint")
+    rows = materialize(moved.unionByName(df.filter(~there).select(*df.columns, none.alias("_high"), none.alias("_low"))), "changes")
+
+    b = add_range_bucket(rows, order_cols, n_buckets)
+    part = [*group_cols, BUCKET]
+    before = Window.partitionBy(*group_cols).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy(*part).agg(F.sum("_high").alias("_high"), F.sum("_low").alias("_low"))
+    heads = sums.select(*part, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_high", "_low")))
+    upto = Window.partitionBy(*part).orderBy(_HEAD, *order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("_high").over(upto) / F.lit(2.0 ** 32) + F.sum("_low").over(upto) / F.lit(2.0 ** 64)
+    return _with_head(b, heads).withColumn(out, total).filter(F.col(_HEAD) == 1).select(*df.columns, out)
+
+
 def running_latest_sum_single(df: DataFrame, group_cols: Sequence[str], key_col: str,
                               keys: Sequence, value_col: str, order_cols: Sequence[str],
                               out: str = "total") -> DataFrame:

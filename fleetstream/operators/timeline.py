@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import join_groups, rank_and_previous, running_latest_sum
+from .ordered import join_groups, rank_and_previous, running_latest_sum, running_latest_sum_open
 
 # Load-rate and share parameters of the scaling manager
 # (names and defaults as published with the reference).
@@ -37,14 +37,17 @@ def splice_workers(traces: DataFrame, order_cols: Sequence[str] = ("ts_ms", "wor
     return traces.orderBy(*group_cols, *order_cols)
 
 
-def cluster_running_total(samples: DataFrame, workers: Sequence[int],
+def cluster_running_total(samples: DataFrame, workers: Sequence[int] | None,
                           value_col: str = "cpu", out: str = "cluster_cpu",
                           group_cols: Sequence[str] = ("run",),
                           order_cols: Sequence[str] = ("ts_ms", "worker", "line_id"),
                           n_buckets: int | None = None) -> DataFrame:
     """W1 + G3: at every sample, the sum over ``workers`` (in that order) of
     each worker's latest value; a worker not seen yet counts 0.  A sample of a
-    worker outside of ``workers`` fails the job: its share would be missing."""
+    worker outside of ``workers`` fails the job: its share would be missing.
+    ``workers`` None: all that there are, however many, summed exactly."""
+    if workers is None:
+        return running_latest_sum_open(samples, group_cols, "worker", value_col, order_cols, out=out, n_buckets=n_buckets)
     known = F.col("worker").isin(list(workers))
     samples = samples.withColumn("worker", F.when(known, F.col("worker")).otherwise(F.raise_error(F.concat(
         F.lit("fleetstream: sample of an undeclared worker "), F.coalesce(F.col("worker").cast("string"), F.lit("NULL"))))))
@@ -132,12 +135,13 @@ def last_of_burst(lines: DataFrame, burst_cols: Sequence[str], order_col: str,
 
 def makespan(completions: DataFrame, starts: DataFrame,
              on: Sequence[str] = ("run",)) -> DataFrame:
-    """Per run, last completion (s) minus copy start (ms / 1000)."""
+    """Per run, last completion (s) minus copy start (ms / 1000).  A run
+    without a start keeps its row, start and makespan NULL."""
     done = completions.groupBy(*on).agg(
         F.count(F.lit(1)).alias("n_tasks"),
         F.max("completed_s").alias("last_completed_s"))
     start = starts.groupBy(*on).agg(F.min("ts_ms").alias("start_ms"))
-    return join_groups(done, start, list(on)).withColumn(
+    return join_groups(done, start, list(on), "left").withColumn(
         "makespan_s", F.col("last_completed_s") - F.col("start_ms") / F.lit(1000))
 
 
@@ -146,18 +150,21 @@ def load_rate(queues: DataFrame, series_cols: Sequence[str] = ("series",),
               lower: float = LOWER_RATE_LIMIT, upper: float = UPPER_RATE_LIMIT,
               slowdown: float = SLOWDOWN_RATE, queue_limit: int = QUEUE_SIZE_LIMIT,
               large: int = LARGE_SCALEUP_AMOUNT, small: int = SMALL_SCALEUP_AMOUNT,
-              n_buckets: int | None = None) -> DataFrame:
-    """``t`` = row number in time order (taken as seconds), ``rate =
-    dqueue / dt`` against the previous sample, and the load class:
+              n_buckets: int | None = None, time_col: str | None = None, unit_s: float = 0.001) -> DataFrame:
+    """``t`` = row number in time order, ``rate = dqueue / dt`` against the
+    previous sample (dt in seconds, from ``time_col`` in units of ``unit_s``;
+    without one samples count as a second apart; no rate where no time has
+    passed or it isn't known), and the load class:
     slowdown if rate <= slowdown; large if rate >= upper; small if rate >=
     lower, or queue > queue_limit and rate > slowdown; else steady.  First
     sample (no rate): small if queue > queue_limit, else steady."""
-    ranked = rank_and_previous(queues, series_cols, order_cols, prev_cols=[queue_col],
+    times = [time_col] if time_col and time_col != queue_col else []
+    ranked = rank_and_previous(queues, series_cols, order_cols, prev_cols=[queue_col, *times],
                                rank_col="t", n_buckets=n_buckets)
     q = F.col(queue_col)
     prev_q = F.col(f"prev_{queue_col}")
-    rate = F.when(prev_q.isNull(), F.lit(None).cast("double")).otherwise(
-        (q - prev_q).cast("double") / F.lit(1.0))
+    dt = (F.col(time_col) - F.col(f"prev_{time_col}")).cast("double") * F.lit(unit_s) if times else F.lit(1.0)
+    rate = F.when(prev_q.isNotNull() & (dt > 0), (q - prev_q).cast("double") / dt)
     over_limit = q > F.lit(queue_limit)
     action = (
         F.when(F.col("rate").isNull(), F.when(over_limit, "small").otherwise("steady"))
@@ -170,7 +177,7 @@ def load_rate(queues: DataFrame, series_cols: Sequence[str] = ("series",),
     amount = (F.when(F.col("action") == "large", F.lit(large))
               .when(F.col("action") == "small", F.lit(small)).otherwise(F.lit(0)))
     return (ranked.withColumn("rate", rate).withColumn("action", action)
-            .withColumn("amount", amount).drop(f"prev_{queue_col}"))
+            .withColumn("amount", amount).drop(f"prev_{queue_col}", *(f"prev_{c}" for c in times)))
 
 
 def default_share(requests: DataFrame, profiles: DataFrame, image_col: str = "image",

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsers
@@ -37,10 +37,10 @@ CORE_FILES = "master/cores.log"
 
 
 def cpu_samples(spark: SparkSession, data: str, runs: str = "*", mode: str = "drop",
-                files: str = CPU_FILES) -> DataFrame:
+                files: str = CPU_FILES, counts: Observation | None = None) -> DataFrame:
     """P3 over ``<data>/<run>/worker*/cpu.log``; worker index from the host name."""
     lines = scan_logs(spark, data, f"{runs}/{files}")
-    parsed = keep_parsed(lines.withColumn("p", parsers.parse_cpu_line("line")), "p", mode)
+    parsed = keep_parsed(lines.withColumn("p", parsers.parse_cpu_line("line")), "p", mode, counts)
     return parsed.select(
         "run", "host",
         F.coalesce(F.regexp_extract("host", r"([0-9]+)$", 1).try_cast("int"), F.raise_error(
@@ -49,30 +49,16 @@ def cpu_samples(spark: SparkSession, data: str, runs: str = "*", mode: str = "dr
 
 
 def core_samples(spark: SparkSession, data: str, runs: str = "*", per_worker: bool = False,
-                 mode: str = "drop", files: str = CORE_FILES) -> DataFrame:
+                 mode: str = "drop", files: str = CORE_FILES, counts: Observation | None = None) -> DataFrame:
     """P1 (old format, ``cores`` int or NULL) or P2 (``cores`` int array) over
     ``<data>/<run>/master/cores.log``.  The format is an argument: both
     patterns accept an empty count, so it cannot be guessed per line."""
     lines = scan_logs(spark, data, f"{runs}/{files}")
     fn = parsers.parse_core_list_line if per_worker else parsers.parse_core_line
-    parsed = keep_parsed(lines.withColumn("p", fn("line")), "p", mode)
+    parsed = keep_parsed(lines.withColumn("p", fn("line")), "p", mode, counts)
     return parsed.select("run", "block_start", "line_key", "p.ts_ms", "p.ts", "p.cores")
 
 
-# the running total holds one column for each worker
-MAX_WORKERS = 1_000
-
-
-def worker_ids(cpu: DataFrame) -> list[int]:
-    """The workers present in the CPU logs, in order (an open worker list).
-    One small distinct query; the list is bounded by the number of hosts."""
-    ids = [r.worker for r in cpu.select("worker").distinct().orderBy("worker")
-           .limit(MAX_WORKERS + 1).collect() if r.worker is not None]
-    if len(ids) > MAX_WORKERS:
-        raise ValueError(f"fleetstream: more than {MAX_WORKERS} worker hosts")
-    return ids
-
-
 def bad_lines(spark: SparkSession, data: str, runs: str = "*", per_worker: bool = False,
               cpu_files: str = CPU_FILES, core_files: str = CORE_FILES) -> DataFrame:
     """Lines that the parsers drop: ``(run, host, log, n_lines, n_bad)``."""
@@ -90,28 +76,31 @@ def cluster_series(spark: SparkSession, data: str, runs: str = "*",
                    start: float | None = None, end: float | None = None,
                    total_cores: int | None = None, cpu_files: str = CPU_FILES,
                    core_files: str = CORE_FILES, mode: str = "drop",
-                   cores_per_worker: int = tl.CORES_PER_WORKER) -> DataFrame:
+                   cores_per_worker: int = tl.CORES_PER_WORKER,
+                   counts: tuple[Observation, Observation] | None = None) -> DataFrame:
     """``workers``: those to sum, in that order; None: all in the logs.  A
     sample of any other fails the job.  A run without CPU samples is on the
-    clock of its first cores sample."""
+    clock of its first cores sample.  ``counts``: lines and bad lines of the CPU
+    and of the cores logs, counted as they are read (there when this returns)."""
+    cpu_counts, core_counts = counts or (None, None)
     # parsed once and written as a table in the shared checkpoint folder:
     # the bucketed running total reads its input three times
-    cpu = materialize(cpu_samples(spark, data, runs, mode, files=cpu_files), "cpu-samples")
-    core = materialize(core_samples(spark, data, runs, mode=mode, files=core_files), "core-samples")
-    workers = worker_ids(cpu) if workers is None else list(workers)
+    cpu = materialize(cpu_samples(spark, data, runs, mode, files=cpu_files, counts=cpu_counts), "cpu-samples")
+    core = materialize(core_samples(spark, data, runs, mode=mode, files=core_files, counts=core_counts), "core-samples")
+    n_workers = cpu.select("worker").distinct().count() if workers is None else len(workers)
     if total_cores is None:
-        total_cores = cores_per_worker * len(workers)
+        total_cores = cores_per_worker * n_workers
     first = tl.origins_of(cpu).withColumn("first", F.lit(0)).unionByName(tl.origins_of(core).withColumn("first", F.lit(1)))
     origin = first.groupBy("run").agg(F.min_by("origin", "first").alias("origin"))
     cores = tl.rebase(core, origin).select(
         "run", F.lit("cores").alias("series"), F.lit(None).cast("int").alias("worker"), "t",
         F.col("cores").cast("double").alias("value"))
     out = cores
-    if workers:
+    if n_workers:
         total = tl.cluster_running_total(cpu, workers, value_col="cpu", out="cluster_cpu", order_cols=ORDER)
         out = tl.rebase(total, origin).select(
             "run", F.lit("cpu").alias("series"), F.lit(None).cast("int").alias("worker"), "t",
-            tl.core_equivalents(F.col("cluster_cpu"), len(workers), total_cores).alias("value")).unionByName(cores)
+            tl.core_equivalents(F.col("cluster_cpu"), n_workers, total_cores).alias("value")).unionByName(cores)
     return tl.trim(out, start, end)
 
 

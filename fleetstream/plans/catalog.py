@@ -22,7 +22,8 @@ from ..operators import slices as slc
 from ..operators import tasks
 from ..operators import timeline as tl
 from ..sources import files as srcf
-from ..session import materialize, spread
+from ..session import materialize, spread, to_local_path
+from . import directory
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,6 +202,38 @@ def q_load_rate(spark, sf_dir):
     return tl.load_rate(fx.queue_lengths(spark, sf_dir))
 
 
+def q_load_rate_uneven(spark, sf_dir):
+    """W3 over the samples' own times."""
+    return tl.load_rate(fx.queue_lengths(spark, sf_dir), time_col="ts_ms", unit_s=0.001)
+
+
+def q_makespan_open(spark, sf_dir):
+    """G4 where a run has completions and no start: it stays, without a makespan."""
+    lines = fx.completion_lines(spark, sf_dir)
+    done = keep_parsed(lines.withColumn("p", parsers.parse_completion_line("line")), "p")
+    return tl.makespan(done.select("run", "p.completed_s"), fx.samples(spark, sf_dir).filter("run <> 'click'"))
+
+
+def q_null_times(spark, sf_dir):
+    """W1 and W3 where samples have no time: they come first, as in a sort."""
+    cpu = _cpu_series(spark, sf_dir).withColumn("ts_ms", F.when(F.col("line_id") % 7 != 0, F.col("ts_ms")))
+    total = tl.cluster_running_total(cpu, fx.WORKERS, value_col="cpu", out="value").select(
+        F.lit("total").alias("kind"), "run", "line_id", "value")
+    queues = fx.queue_lengths(spark, sf_dir).withColumn("ts_ms", F.when(F.col("event_id") % 7 != 0, F.col("ts_ms")))
+    rate = tl.load_rate(queues).select(
+        F.lit("rate").alias("kind"), F.col("series").alias("run"), F.col("event_id").alias("line_id"), F.col("rate").alias("value"))
+    return total.unionByName(rate)
+
+
+def q_open_workers(spark, sf_dir):
+    """W1 + G3 over 5,000 workers that nobody declares (values in 64ths: sums are exact)."""
+    e = fx.table(spark, sf_dir, "events")
+    samples = e.select(F.col("event_type").alias("run"), ((F.col("event_id") * 7919) % 5000).cast("int").alias("worker"),
+                       F.col("event_id").alias("line_id"), fx.epoch_ms().alias("ts_ms"),
+                       F.when(F.col("event_id") % 11 != 0, ((F.col("event_id") * 31) % 129).cast("double") / 64).alias("cpu"))
+    return tl.cluster_running_total(samples, None).select("run", "worker", "line_id", "cluster_cpu")
+
+
 def q_default_share(spark, sf_dir):
     """Requests: one per part, image ``img<p_size>``.  Profiles: every line
     item ran image ``img<l_linenumber>`` and used ``l_discount`` of a core
@@ -378,6 +411,27 @@ def q_by_file_transform(spark, sf_dir):
     return done.select(_name_from_path(), "n_lines", "n_empty", "last_bytes")
 
 
+def q_by_file_merge(spark, sf_dir):
+    """G5 + UF3: a function over the lines of few large files, folded split by
+    split and merged in file order: lines, and lines unlike the one before."""
+    from ..sources.logs import named_lines
+
+    def step(s, line):
+        n, changes, first, last = s
+        return n + 1, changes + (n > 0 and line != last), line if n == 0 else first, line
+
+    def merge(a, b):
+        return a[0] + b[0], a[1] + b[1] + (a[3] != b[2]), a[2], b[3]
+
+    def finish(path, s):
+        yield path, s[0], s[1], len(s[2].encode()), len(s[3].encode())
+
+    lines = named_lines(spark, fx.language_files(spark, sf_dir), "*/*", with_order_key=True)
+    done = tasks.fold_per_file(lines, lambda: (0, 0, None, None), step, merge, finish,
+                               "path string, n_lines long, n_changes long, first_bytes long, last_bytes long")
+    return done.select(_name_from_path(), "n_lines", "n_changes", "first_bytes", "last_bytes")
+
+
 # -- external tasks -----------------------------------------------------------
 
 def q_external_task(spark, sf_dir):
@@ -435,12 +489,12 @@ def q_timed_trigger(spark, sf_dir):
 
 def _waves(spark, sf_dir, src):
     """Documents as files, in two waves by language."""
-    docs = fx.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text",
-        F.when(F.col("lang") == "en", F.lit(1)).otherwise(F.lit(2)).alias("wave"))
+    docs = fx.table(spark, sf_dir, "documents").withColumn("wave", F.when(F.col("lang") == "en", 1).otherwise(2))
     for wave in (1, 2):
-        (docs.filter(F.col("wave") == wave).drop("wave")
-         .write.mode("overwrite").partitionBy("name").text(f"{src}/wave={wave}"))
+        fx.write_files(docs.filter(F.col("wave") == wave).select(
+            F.concat(F.lit(f"wave={wave}/name=d"), F.col("doc_id").cast("string"), F.lit("/text.txt")).alias("name"),
+            F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"), F.lit(None).cast("double").alias("mod_ms")),
+            to_local_path(src))
         yield wave
 
 
@@ -533,10 +587,23 @@ def q_cluster_timeline(spark, sf_dir):
     """Whole-cluster figure from the log folders (scan -> P3/P1 -> W1 -> W2 -> M3)."""
     from . import analysis
     root = fx.telemetry_files(spark, sf_dir)
-    return analysis.cluster_series(spark, root, "*", cpu_files="host=worker*/*.txt",
+    return analysis.cluster_series(spark, root, "*", workers=fx.WORKERS, cpu_files="host=worker*/*.txt",
                                    core_files="host=master/*.txt")
 
 
+def q_bad_line_counts(spark, sf_dir):
+    """Lines, and lines that don't parse (the first of each burst has no
+    stamp), counted by the pass that parses them for the figure."""
+    from pyspark.sql import Observation
+
+    from . import analysis
+    root = fx.telemetry_files(spark, sf_dir)
+    counts = Observation("cpu"), Observation("cores")
+    analysis.cluster_series(spark, root, "*", cpu_files="host=worker*/*.txt", core_files="host=master/*.txt", counts=counts)
+    rows = [(log, c.get["n_lines"], c.get["n_bad"]) for log, c in zip(("cpu", "cores"), counts, strict=True)]
+    return spark.createDataFrame(rows, "log string, n_lines long, n_bad long")
+
+
 def q_worker_timeline(spark, sf_dir):
     """Per-worker figure's points from the log folders (scan -> P2/P3 -> A2 -> M4 -> W2 -> U3)."""
     from . import analysis
@@ -565,6 +632,16 @@ def q_null_runs(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
+    "bad_line_counts": q_bad_line_counts,
+    "load_rate_uneven": q_load_rate_uneven,
+    "makespan_open": q_makespan_open,
+    "null_times": q_null_times,
+    "open_workers": q_open_workers,
+    "by_file_merge": q_by_file_merge,
+    "directory_stream": directory.q_directory_stream,
+    "future_stream": directory.q_future_stream,
+    "rewritten_stream": directory.q_rewritten_stream,
+    "listing_errors": directory.q_listing_errors,
     "sparse_timeline": q_sparse_timeline,
     "null_runs": q_null_runs,
     "message_draw": q_message_draw,

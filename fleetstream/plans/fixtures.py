@@ -230,6 +230,34 @@ def document_files(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "docs", write)
 
 
+def language_files(spark: SparkSession, sf_dir: str) -> str:
+    """A few large files, ``<root>/name=<lang>/part-*.txt``: the texts of a
+    language one after the other, by id (one of them has most of the bytes)."""
+    def write(path: str) -> None:
+        d = table(spark, sf_dir, "documents")
+        (d.select(F.coalesce("lang", F.lit("none")).alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+         .repartition("name").sortWithinPartitions("name", "doc_id").select("name", "text")
+         .write.mode("overwrite").partitionBy("name").text(path))
+    return _once(spark, sf_dir, "languages", write)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """(name, text, mod_ms): a file each in ``root``, without a final newline;
+    ``mod_ms`` NULL: dated now."""
+    def write(batches):
+        import os
+        for pdf in batches:
+            for name, text, mod in zip(pdf["name"], pdf["text"], pdf["mod_ms"].tolist()):
+                path = os.path.join(root, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as fh:
+                    fh.write((text or "").encode())
+                if mod == mod and mod is not None:
+                    os.utime(path, (mod / 1000, mod / 1000))
+            yield pdf[["name"]]
+    return files.select("name", "text", "mod_ms").mapInPandas(write, "name string").count()
+
+
 def _write_logs(lines: DataFrame, path: str) -> None:
     """One folder per run and host, lines in file order."""
     # a host's lines in ranges of their order: as many tasks as there is data for

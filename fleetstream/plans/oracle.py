@@ -307,3 +307,55 @@ SQL["message_table"] = f"""
     SELECT 'fleet/' || lang || '-worker:1' AS image, 'ubuntu' AS os,
            CAST(strlen(env) AS BIGINT) AS n_bytes, md5(env) AS md5
     FROM (SELECT lang, {ENVELOPE} AS env FROM documents)"""
+
+
+# -- the directory stream, uneven steps, times that are missing, many workers --
+
+SQL["directory_stream"] = """
+    SELECT CASE WHEN lang = 'fr' THEN '_' ELSE '' END || 'd' || CAST(doc_id AS VARCHAR) AS name,
+           CAST(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE strlen(COALESCE(text, '')) END AS BIGINT) AS length
+    FROM documents WHERE doc_id % 10 <> 3"""
+SQL["future_stream"] = """
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, CAST(1 AS BIGINT) AS n_seen, FALSE AS ahead
+    FROM documents WHERE doc_id % 4 <> 1"""
+SQL["rewritten_stream"] = """
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, CAST(CASE WHEN doc_id % 3 < 2 THEN 2 ELSE 1 END AS BIGINT) AS n_seen,
+           doc_id % 3 < 2 AS apart
+    FROM documents"""
+SQL["listing_errors"] = """
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS name, lang <> 'en' AS when_back FROM documents WHERE lang IS NOT NULL"""
+SQL["load_rate_uneven"] = SQL["load_rate"].replace("lag(queue) OVER w AS pq", "lag(queue) OVER w AS pq, lag(ts_ms) OVER w AS pts").replace(
+    "CASE WHEN pq IS NULL THEN NULL ELSE CAST(queue - pq AS DOUBLE) / 1.0 END",
+    "CASE WHEN ts_ms > pts THEN CAST(queue - pq AS DOUBLE) / (CAST(ts_ms - pts AS DOUBLE) * CAST(0.001 AS DOUBLE)) END")
+SQL["makespan_open"] = f"""
+    SELECT run, n_tasks, last_completed_s, CASE WHEN run <> 'click' THEN start_ms END AS start_ms,
+           CASE WHEN run <> 'click' THEN makespan_s END AS makespan_s FROM ({SQL['makespan']})"""
+_EARLY_CPU = f"SELECT * REPLACE (CASE WHEN line_id % 7 <> 0 THEN ts_ms ELSE -1 END AS ts_ms) FROM ({CPU})"
+SQL["null_times"] = f"""
+    SELECT 'total' AS kind, run, line_id, cluster_cpu AS value
+    FROM ({CLUSTER.replace(CPU, _EARLY_CPU)})
+    UNION ALL
+    SELECT 'rate', series, event_id, CAST(queue - lag(queue) OVER (PARTITION BY series ORDER BY ts_ms NULLS FIRST, event_id) AS DOUBLE)
+    FROM (SELECT event_type AS series, event_id, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 1000 END AS ts_ms,
+                 CAST((event_id * 31) % 25 AS INTEGER) AS queue FROM events)"""
+SQL["open_workers"] = """
+    WITH s AS (SELECT event_type AS run, CAST((event_id * 7919) % 5000 AS INTEGER) AS worker, event_id AS line_id,
+                      epoch_us(ts) // 1000 AS ts_ms,
+                      CASE WHEN event_id % 11 <> 0 THEN CAST((event_id * 31) % 129 AS DOUBLE) / 64 END AS cpu FROM events),
+    v AS (SELECT *, lag(cpu IGNORE NULLS) OVER (PARTITION BY run, worker ORDER BY ts_ms, line_id) AS before FROM s)
+    SELECT run, worker, line_id,
+           sum(CASE WHEN cpu IS NULL THEN 0 ELSE cpu - COALESCE(before, 0) END)
+             OVER (PARTITION BY run ORDER BY ts_ms, worker, line_id ROWS UNBOUNDED PRECEDING) AS cluster_cpu
+    FROM v"""
+SQL["by_file_merge"] = """
+    WITH l AS (SELECT COALESCE(lang, 'none') AS name, doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(COALESCE(text, ''), chr(10)), 1) AS pos FROM documents),
+    p AS (SELECT *, lag(line) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY name) AS n
+          FROM l WINDOW w AS (PARTITION BY name ORDER BY doc_id, pos))
+    SELECT name, count(*) AS n_lines, CAST(count(*) FILTER (k > 1 AND line <> before) AS BIGINT) AS n_changes,
+           CAST(max(CASE WHEN k = 1 THEN strlen(line) END) AS BIGINT) AS first_bytes,
+           CAST(max(CASE WHEN k = n THEN strlen(line) END) AS BIGINT) AS last_bytes
+    FROM p GROUP BY name"""
+SQL["bad_line_counts"] = f"""
+    SELECT 'cpu' AS log, 2 * count(*) AS n_lines, count(*) AS n_bad FROM ({CPU})
+    UNION ALL SELECT 'cores', count(*), CAST(0 AS BIGINT) FROM ({CORES})"""

@@ -168,3 +168,49 @@ def test_splice_is_in_order(spark):
     df = spark.createDataFrame(rows, "run string, worker int, line_id long, ts_ms long").repartition(4)
     got = [(r.ts_ms, r.worker, r.line_id) for r in tl.splice_workers(df).collect()]
     assert got == sorted(got) and len(got) == len(rows)
+
+
+def test_null_order_values_come_first(spark):
+    """A NULL time, or a NULL tie, sorts first, as in a window; a NULL value changes nothing."""
+    rnd = random.Random(11)
+    some = lambda x, p: None if rnd.random() < p else x
+    rows = [(f"r{rnd.randrange(2)}", some(rnd.randrange(300), .1), rnd.randrange(4), some(rnd.random(), .2), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run string, ts long, worker int, v double, line long")
+    for order in (["ts", "worker", "line"], ["ts", "line"]):
+        args = (["run"], "worker", [0, 1, 2, 3], "v", order)
+        a = ordered.running_latest_sum(df, *args, n_buckets=9).select("line", F.col("total").alias("a"))
+        b = ordered.running_latest_sum_single(df, *args).select("line", F.col("total").alias("b"))
+        assert a.join(b, "line").filter(F.col("a") != F.col("b")).count() == 0 and a.count() == 3000
+    from pyspark.sql import Window
+    got = ordered.rank_and_previous(df, ["run"], ["ts", "line"], ["worker"], rank_col="t", n_buckets=9)
+    w = Window.partitionBy("run").orderBy("ts", "line")
+    ref = df.select("line", F.row_number().over(w).alias("t2"), F.lag("worker").over(w).alias("p2"))
+    assert got.join(ref, "line").filter((F.col("t") != F.col("t2")) | ~F.col("prev_worker").eqNullSafe(F.col("p2"))).count() == 0
+
+
+def test_open_workers_equal_declared_ones(spark):
+    """The sum of changes is the sum of latest values, exact where those are."""
+    rnd = random.Random(12)
+    rows = [(f"r{rnd.randrange(2)}", some, rnd.randrange(40), rnd.choice([None, rnd.randrange(100) / 64]), i)
+            for i in range(4000) for some in (rnd.choice([None, rnd.randrange(500)]),)]
+    df = spark.createDataFrame(rows, "run string, ts long, worker int, v double, line long")
+    a = ordered.running_latest_sum_open(df, ["run"], "worker", "v", ["ts", "worker", "line"], n_buckets=7).select("line", F.col("total").alias("a"))
+    b = ordered.running_latest_sum_single(df, ["run"], "worker", list(range(40)), "v", ["ts", "worker", "line"]).select("line", F.col("total").alias("b"))
+    assert a.join(b, "line").filter(F.col("a") != F.col("b")).count() == 0 and a.count() == 4000
+    one = spark.createDataFrame([("r", 1, 0, 0.1 + 0.2, 0), ("r", 2, 0, 1e-3, 1)], df.schema)
+    got = ordered.running_latest_sum_open(one, ["run"], "worker", "v", ["ts", "line"]).orderBy("ts").collect()
+    assert [r.total for r in got] == [0.1 + 0.2, 1e-3]  # a value alone comes back as it was
+
+
+def test_load_rate_over_time(spark):
+    df = spark.createDataFrame([("a", t, i, q) for i, (t, q) in enumerate([(0, 0), (500, 4), (500, 9), (4500, 1), (None, 3)])],
+                               "series string, ts_ms long, event_id long, queue int")
+    got = {r.event_id: r.rate for r in tl.load_rate(df, time_col="ts_ms").collect()}
+    assert got == {4: None, 0: None, 1: 8.0, 2: None, 3: -2.0}  # no time, first, half a second, no time passed, four seconds
+
+
+def test_makespan_without_a_start(spark):
+    comp = spark.createDataFrame([("r", 10), ("s", 20), (None, 30)], "run string, completed_s long")
+    starts = spark.createDataFrame([("r", 4000)], "run string, ts_ms long")
+    got = {r.run: (r.n_tasks, r.makespan_s) for r in tl.makespan(comp, starts).collect()}
+    assert got == {"r": (1, 6.0), "s": (1, None), None: (1, None)}
