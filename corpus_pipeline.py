@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetstream.llm import decontamination, jaccard, language_id, line_dedup, packing
-from fleetstream.llm.common import stored, table
+from fleetstream.llm.common import release, stored, table
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        release(spark, keep=f"pipeline-{k}")  # what the stage has read, and stored for itself
     return docs
 
 
