@@ -106,3 +106,15 @@ def test_rounds_are_best_fit_decreasing():
 def test_empty(no_docs):
     assert token_counts.token_counts(no_docs).collect() == []
     assert packing.pack_documents(no_docs).collect() == []
+
+
+def test_unbroken_text_takes_few_rounds(spark, monkeypatch):
+    """Chunks grow with their overlap: no text is encoded over and over."""
+    text = "".join(f"{k:x}" for k in range(60_000))
+    rounds = []
+    was = token_counts.stored
+    monkeypatch.setattr(token_counts, "stored", lambda df, name: (rounds.append(name), was(df, name))[1])
+    docs = spark.createDataFrame([(1, text), (2, text + " " + text)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs).collect()}
+    assert got == {1: len(library(text)), 2: len(library(text + " " + text))}
+    assert len(rounds) <= 3
