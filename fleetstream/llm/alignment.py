@@ -50,6 +50,8 @@ MEMO_SEGMENTS = 800_000
 MEMO_IDS = 12_000_000
 #: Text bytes of a step.
 STEP = 4 << 20
+# Fixed value: how byte-level vocabularies split a text into words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text bytes that are tokenised at a time.
 ENCODE = 2 << 20
 
@@ -115,6 +117,14 @@ class Tokens:
         split = made["pre_tokenizer"] or {}
         self.cuts = (made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
                      and not split.get("add_prefix_space") and not any("\u2581" in p.lstrip("\u2581") for p in pieces))
+        # a vocabulary whose ids are in the order of its merges is one of ranks, which are faster to apply
+        merges = [m if isinstance(m, str) else " ".join(m) for m in made["model"]["merges"]]
+        vocab = made["model"]["vocab"]
+        self.ranks = None
+        if self.cuts and all(vocab.get(m.replace(" ", "")) == 256 + k for k, m in enumerate(merges)) and sorted(vocab.values())[:256] == list(range(256)):
+            import tiktoken
+            ranks = {bytes(symbol[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges) and all(c in symbol for c in t)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self._empty()
 
     def _empty(self) -> None:
@@ -130,7 +140,12 @@ class Tokens:
         return [a, self.b.encode(texts, num_threads=1)]
 
     def _learn(self, raw: list[bytes]) -> None:
-        for k, ids in enumerate(self.encode([r[1:].decode() for r in raw])):
+        texts = [r.decode() for r in raw]
+        if self.ranks:
+            found = [[self.ranks.encode_ordinary(t) for t in texts], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        else:
+            found = self.encode([t[1:] for t in texts])
+        for k, ids in enumerate(found):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(n.sum())
             if self.used[k] + total > len(self.ids[k]):
@@ -244,7 +259,7 @@ def aligned_texts(made: Tokens, texts: list[str | None]) -> tuple[np.ndarray, li
     shared = np.flatnonzero(end_b[j] == end_a)[:-1]
     next_a, next_b = shared + 1, j[shared] + 1
     anchor = va.spaced[a[next_a]] & vb.spaced[b[next_b]]
-    cut_a, cut_b = np.union1d(at_a, next_a[anchor]), np.union1d(at_b, next_b[anchor])
+    cut_a, cut_b = _marked(len(a), at_a, next_a[anchor]), _marked(len(b), at_b, next_b[anchor])
     text_of = np.searchsorted(at_a, cut_a[:-1], "right") - 1
 
     # windows of the same ids are aligned once
@@ -272,6 +287,14 @@ def aligned_texts(made: Tokens, texts: list[str | None]) -> tuple[np.ndarray, li
     return counts, groups, row, pair, occ
 
 
+def _marked(n: int, *places: np.ndarray) -> np.ndarray:
+    """All of the places (0 to n), in order."""
+    mark = np.zeros(n + 1, bool)
+    for p in places:
+        mark[p] = True
+    return np.flatnonzero(mark)
+
+
 def _span_hash(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """64-bit hash of ids[cut[k]:cut[k + 1]] for each k."""
     fwd, back = _powers(len(ids) + 1)

@@ -79,7 +79,7 @@ def test_streams_equal_libraries(rows, monkeypatch):
     import public_tokenizers as P
     monkeypatch.setattr(alignment, "MEMO_SEGMENTS", 50)
     one = Tokens(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
-    assert one.cuts
+    assert one.cuts and one.ranks
     rng = np.random.default_rng(4)
     bits = ["a", "B", "é", "e\u0301", "'s", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2581", "1", "23", ".", ",", "ß", "日本",
             "😀", "\x00", "\u200b", "!!", "word", " the", "ﬁ", "\u0301", "<s>", "Ω", "ж", "\u0085"]
