@@ -77,6 +77,6 @@ def test_stages(spark, no_docs, tmp_path):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = {n.split("_")[0] for n in entry.queries() if n[:2] == "op" and n[2].isdigit()}
-    assert names == {f"op{k}" for k in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries()
     assert set(queries.QUERIES) <= set(entry.queries())
     assert {"op2_suffix_array_line_dedup", "op3_winnowing_decontamination", "op7_suffix_tree_substring_dedup"} <= set(entry.oracle_sql())
