@@ -53,7 +53,7 @@ STEP = 4 << 20
 # Fixed value: how byte-level vocabularies split a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text bytes that are tokenised at a time.
-ENCODE = 2 << 20
+ENCODE = 1 << 20
 
 
 class Vocabulary:
