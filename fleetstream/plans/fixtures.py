@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
@@ -275,17 +275,62 @@ def _named_files(root: str):
     return write
 
 
+#: Bytes of a language file that one task writes, about.
+LANGUAGE_PART = 32 << 20
+
+
 def language_files(spark: SparkSession, sf_dir: str) -> str:
-    """A few large files, ``<root>/name=<lang>/part-*.txt``: the texts of a
-    language one after the other, by id (one of them has most of the bytes)."""
+    """A few large files, ``<root>/name=<lang>/part-00000.txt``: the texts of a
+    language one after the other, by id (one of them has most of the bytes).
+    Many tasks write a file, each a range of ids at its place in it."""
     def write(path: str) -> None:
         d = table(spark, sf_dir, "documents")
-        (d.select(F.coalesce("lang", F.lit("none")).alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-         .repartition("name").sortWithinPartitions("name", "doc_id").select("name", "text")
-         .write.mode("overwrite").partitionBy("name").text(path))
+        docs = d.select(F.coalesce("lang", F.lit("none")).alias("name"), "doc_id",
+                        F.concat(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.lit(b"\n")).alias("content"))
+        size = F.octet_length("content").cast("bigint")
+        # a row for each language: its bytes, then the ids that part it
+        parts = docs.groupBy("name").agg(F.sum(size).alias("bytes")).agg(F.max("bytes")).first()[0] or 0
+        n = int(parts // LANGUAGE_PART) + 1
+        bounds = docs.groupBy("name").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("bounds"))
+        ranged = docs.join(F.broadcast(bounds.withColumnRenamed("name", "_name")), F.col("name") == F.col("_name")).select(
+            "name", "doc_id", "content",
+            F.coalesce(F.size(F.filter("bounds", lambda b: F.col("doc_id") > b)), F.lit(0)).alias("part"))
+        sizes = ranged.groupBy("name", "part").agg(F.sum(size).alias("bytes"))  # a row for each task of the writing
+        before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        places = sizes.select("name", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("place"))
+        _remove(spark, path)
+        (ranged.join(F.broadcast(places), ["name", "part"])
+         .repartition(max(1, sizes.count()), "name", "part").sortWithinPartitions("name", "part", "doc_id")
+         .select("name", "part", "place", "content").mapInPandas(_placed_texts(to_local_path(path)), "n long")
+         .write.format("noop").mode("overwrite").save())
     return _once(spark, sf_dir, "languages", write)
 
 
+def _placed_texts(root: str):
+    """Rows (name, part, place, content) in file order: each part from its place on."""
+    def write(batches):
+        import os
+
+        import pandas as pd
+        fd, now = None, None
+        try:
+            for pdf in batches:
+                for name, part, place, content in zip(pdf["name"], pdf["part"].tolist(), pdf["place"].tolist(), pdf["content"]):
+                    if (name, part) != now:
+                        if fd is not None:
+                            fd.close()
+                        os.makedirs(f"{root}/name={name}", exist_ok=True)
+                        fd = os.fdopen(os.open(f"{root}/name={name}/part-00000.txt", os.O_WRONLY | os.O_CREAT, 0o644), "wb")
+                        fd.seek(place)
+                        now = name, part
+                    fd.write(content)
+                yield pd.DataFrame({"n": [len(pdf)]})
+        finally:
+            if fd is not None:
+                fd.close()
+    return write
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """(name, text, mod_ms): a file each in ``root``, without a final newline;
     ``mod_ms`` NULL: dated now."""
