@@ -80,7 +80,7 @@ def rebase(df: DataFrame, origins: DataFrame, ts_col: str = "ts", out: str = "t"
     The origin may come from another series (cluster view: first CPU sample;
     per-worker view: first cores sample).  A run without an origin keeps its
     rows, with ``t`` NULL."""
-    return join_groups(df, origins.select(*on, "origin"), list(on), "left").withColumn(
+    return join_groups(df, F.broadcast(origins.select(*on, "origin")), list(on), "left").withColumn(
         out, F.col(ts_col) - F.col("origin")).drop("origin")
 
 
